@@ -219,8 +219,8 @@ class WordEncoder:
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
-        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"([a-z])([.,])(\s|$)", r"\1 \2\3")
-        lists = pc.ascii_split_whitespace(plain)
+        plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"[\t\n\v\f\r ]+", " ")
+        lists = pc.split_pattern(pc.replace_substring_regex(plain, r"([a-z])([.,])( |$)", r"\1 \2\3"), " ")
         words = lists.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
         if len(self.known) + len(distinct) > CACHE_WORDS:
