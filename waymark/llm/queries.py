@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm import sharding
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -19,5 +21,15 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing}
-ORACLES: dict[str, str] = {}
+#: Bytes of text that a shard may hold.
+SHARD_LIMIT = 32 << 20
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.sharding import assign_shards
+
+    return assign_shards(table(spark, sf_dir, "documents"), SHARD_LIMIT)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing, "op5_sharding": op5_sharding}
+ORACLES: dict[str, str] = {"op5_sharding": sharding.oracle(SHARD_LIMIT)}
