@@ -31,5 +31,17 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op3_packing": op3_packing, "op5_sharding": op5_sharding}
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.vector_links import link_vectors
+
+    return link_vectors(table(spark, sf_dir, "embeddings"), 0.93)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op5_sharding, op7_html, op9_vectors)}
 ORACLES: dict[str, str] = {"op5_sharding": sharding.oracle(SHARD_LIMIT)}
