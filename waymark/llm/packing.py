@@ -216,7 +216,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """Ids of each text of a batch; a null text has none."""
-        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        texts = pa.array([t or "" for t in texts.to_pylist()], pa.large_string())  # a copy: case folding misreads slices
         special = pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False)
         plain = pc.if_else(pa.array(special), "", texts) if special.any() else texts
         plain = pc.replace_substring_regex(pc.ascii_lower(plain), r"[\t\n\v\f\r ]+", " ")
