@@ -43,5 +43,11 @@ def op9_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_vectors(table(spark, sf_dir, "embeddings"), 0.93)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op5_sharding, op7_html, op9_vectors)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op5_sharding, op7_html, op9_vectors, op10_jaccard)}
 ORACLES: dict[str, str] = {"op5_sharding": sharding.oracle(SHARD_LIMIT)}
