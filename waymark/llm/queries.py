@@ -38,6 +38,13 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), SHARD_LIMIT)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.decontaminate import find_leaks
+
+    out = find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
+
+
 def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm.html_text import extract
 
@@ -65,5 +72,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_packing, op5_sharding, op7_html, op8_suffix, op9_vectors, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_packing, op5_sharding, op6_decontamination, op7_html, op8_suffix, op9_vectors, op10_jaccard)}
 ORACLES: dict[str, str] = {"op5_sharding": sharding.oracle(SHARD_LIMIT)}
