@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import sharding
+from waymark.llm import lm_score, sharding
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), 0.7)
 
 
+def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.lm_score import score_documents
+
+    out = score_documents(table(spark, sf_dir, "documents"), order=3)
+    return out.withColumn("log_score", F.round("log_score", 3)).withColumn("mean_log_score", F.round("mean_log_score", 6))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -72,5 +79,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op3_packing, op5_sharding, op6_decontamination, op7_html, op8_suffix, op9_vectors, op10_jaccard)}
-ORACLES: dict[str, str] = {"op5_sharding": sharding.oracle(SHARD_LIMIT)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op5_sharding, op6_decontamination, op7_html, op8_suffix, op9_vectors, op10_jaccard)}
+ORACLES: dict[str, str] = {"op2_lm_score": lm_score.oracle(), "op5_sharding": sharding.oracle(SHARD_LIMIT)}
