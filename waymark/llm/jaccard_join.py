@@ -13,8 +13,10 @@ shingle space is cut by hash into parts, more than the differences that two link
 so linked texts agree on a part; and texts that agree on a part are put in one region. Parts of
 fewer than two shingles are left out where enough others remain to be certain.
 
-A region over ``REGION_BYTES`` is split by the same pivot step as a distributed job; one that pivots
-do not shrink is compared block against block. Only forests of links leave a task.
+Where pivots part nothing, texts are far from each other, and a text's rarest shingles within the
+region (so many that a linked text must share one) part them instead. A region over ``REGION_BYTES``
+is split by the same two steps as distributed jobs, rare shingles first; one that neither shrinks is
+compared block against block. Only forests of links leave a task.
 """
 
 from __future__ import annotations
@@ -115,67 +117,102 @@ class Forest:
 
 
 def intersections(sets: list[np.ndarray], few: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each of ``sets`` with each of ``few``."""
-    space = np.unique(np.concatenate(few))
-    has = np.zeros((len(space) + 1, len(few)), np.int32)
-    for k, p in enumerate(few):
-        has[np.searchsorted(space, p), k] = 1
+    """Sizes of the intersections of each of ``sets`` with each of ``few``, by products of bounded 0/1 tables."""
     out = np.zeros((len(sets), len(few)), np.int64)
-    at = 0
-    while at < len(sets):  # a bounded number of hashes at once
-        end, size = at, 0
-        while end < len(sets) and (end == at or size + len(sets[end]) <= 1 << 17):
-            size += len(sets[end])
-            end += 1
-        flat = np.concatenate(sets[at:end])
-        pos = np.searchsorted(space, flat)
-        pos[pos == len(space)] = 0
-        pos[space[pos] != flat] = len(space)
-        first = np.cumsum([0, *map(len, sets[at : end - 1])])
-        out[at:end] = np.add.reduceat(has[pos], first, axis=0)
-        at = end
+    left = 0
+    while left < len(few):
+        right, size = left, 0
+        while right < len(few) and (right == left or (size + len(few[right])) * (right - left + 1) <= 1 << 22):
+            size += len(few[right])
+            right += 1
+        space = np.unique(np.concatenate(few[left:right]))
+        has = np.zeros((len(space), right - left), np.float32)
+        for k in range(left, right):
+            has[np.searchsorted(space, few[k]), k - left] = 1
+        at = 0
+        while at < len(sets):
+            end = min(len(sets), at + max(1, (1 << 22) // len(space)))
+            flat = np.concatenate(sets[at:end])
+            of = np.repeat(np.arange(end - at), [len(s) for s in sets[at:end]])
+            pos = np.searchsorted(space, flat)
+            pos[pos == len(space)] = 0
+            hit = space[pos] == flat
+            rows = np.zeros((end - at, len(space)), np.float32)
+            rows[of[hit], pos[hit]] = 1
+            out[at:end, left:right] = np.rint(rows @ has)
+            at = end
+        left = right
     return out
 
 
-def metric_join(sets: list[np.ndarray], percent: int, forest: Forest | None = None, members: np.ndarray | None = None, seed: int = 7) -> list[tuple[int, int]]:
+def rare_prefixes(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, set) for the rarest shingles of each set, so many that linked sets share one of them."""
+    size = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), size)
+    _, shingle, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.lexsort((shingle, often[shingle], of))
+    rank = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+    keep = order[rank < np.repeat(prefix_length(size, percent), size)]
+    keep = keep[often[shingle[keep]] > 1]
+    return shingle[keep], of[keep]
+
+
+def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
+    """Linked sets share at least ``percent`` of either; so many of a set's shingles cannot all be missing."""
+    return size - -(-size * percent // 100) + 1
+
+
+def metric_join(sets: list[np.ndarray], percent: int, seed: int = 7) -> list[tuple[int, int]]:
     """Links that connect whatever links of the sets connect (a spanning forest), exactly. No set may be empty."""
-    forest = forest or Forest(len(sets))
-    members = np.arange(len(sets)) if members is None else members
+    forest = Forest(len(sets))
     size = np.array([len(s) for s in sets])
     radius = (100 - percent) / 100
-    todo = [members]
+    todo = [np.arange(len(sets))]
     rng = np.random.default_rng(seed)
+
+    def compare(group: np.ndarray, some: np.ndarray) -> np.ndarray:
+        inter = intersections([sets[i] for i in group], [sets[i] for i in some])
+        i, j = np.nonzero(linked(inter, size[group][:, None], size[some][None, :], percent))
+        forest.join(group[i], some[j])
+        return inter
+
     while todo:
         group = todo.pop()
         if len(group) < 2 or forest.one(group):
             continue
         if len(group) <= LEAF:
-            got = [sets[i] for i in group]
-            i, j = np.nonzero(np.triu(linked(intersections(got, got), size[group][:, None], size[group][None, :], percent), 1))
-            forest.join(group[i], group[j])
+            compare(group, group)
             continue
-        pivots = rng.choice(group, min(PIVOTS * max(1, len(group) // 2000), 256, len(group)), replace=False)
-        inter = intersections([sets[i] for i in group], [sets[i] for i in pivots])
-        i, j = np.nonzero(linked(inter, size[group][:, None], size[pivots][None, :], percent))
-        forest.join(group[i], pivots[j])
+        pivots = rng.choice(group, PIVOTS, replace=False)
+        inter = compare(group, pivots)
         if forest.one(group):
             continue
         far = 1 - inter / (size[group][:, None] + size[pivots][None, :] - inter)
         near = far <= far.min(1, keepdims=True) + 2 * radius + 1e-9
-        cells = [group[near[:, k]] for k in range(len(pivots))]
+        if near.sum(0).max() <= 0.7 * len(group):
+            todo += [group[near[:, k]] for k in range(len(pivots))]
+            continue
+        # pivots that part nothing: texts far from each other, which their rarest shingles can part
+        shingle, of = rare_prefixes([sets[i] for i in group], percent)
+        order = np.argsort(shingle, kind="stable")
+        shared = np.split(of[order], np.flatnonzero(np.diff(shingle[order])) + 1) if len(of) else []
+        shared = [g for g in shared if len(g) > 1]
+        parts = Forest(len(group))
+        for g in shared:
+            parts.join(g[:-1], g[1:])
+        roots = np.array([parts.find(k) for k in range(len(group))])
+        order = np.argsort(roots, kind="stable")
+        cells = np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
         if max(map(len, cells)) <= 0.7 * len(group):
-            todo += cells
+            todo += [group[c] for c in cells]
             continue
-        # pivots that part nothing: texts that they did not settle act as pivots themselves, block by block
-        roots = np.array([forest.find(int(g)) for g in group])
-        names, counts = np.unique(roots, return_counts=True)
-        for name in names[np.argsort(counts, kind="stable")][:-1]:  # all but the largest component
-            block = group[roots == name]
-            for b in range(0, len(block), 128):
-                some = block[b : b + 128]
-                hit = linked(intersections([sets[i] for i in group], [sets[i] for i in some]), size[group][:, None], size[some][None, :], percent)
-                i, j = np.nonzero(hit)
-                forest.join(group[i], some[j])
+        for g in sorted(shared, key=len):  # texts that share a rare shingle, if not yet of one component
+            own = group[g]
+            name = np.array([forest.find(int(m)) for m in own])
+            main = np.bincount(np.unique(name, return_inverse=True)[1]).argmax()
+            rest = own[name != np.unique(name)[main]]
+            for at in range(0, len(rest), 128):
+                compare(own, rest[at : at + 128])
     return forest.links
 
 
@@ -214,11 +251,11 @@ def _candidate_links(docs: DataFrame, k: int, percent: int) -> DataFrame:
         lead = nodes[new][np.cumsum(new) - 1]
         more = ~new & (lead != nodes)
         links = np.unique(np.stack([lead[more], nodes[more]], 1), axis=0) if more.any() else np.zeros((0, 2), np.int64)
-        for a, b, c in ((keys[new].view(np.int64), nodes[new], None), (links[:, 0], links[:, 1], links[:, 0])):
+        # a link made here travels as a key of its own that its two ends have
+        own = mix(mix(links[:, 0].view(np.uint64)) + links[:, 1].view(np.uint64)).view(np.int64)
+        for a, b in ((keys[new].view(np.int64), nodes[new]), (own, links[:, 0]), (own, links[:, 1])):
             for at in range(0, len(a), 1 << 16):
-                s = slice(at, at + (1 << 16))
-                direct = pa.nulls(len(a[s]), pa.int64()) if c is None else pa.array(c[s])
-                yield pa.RecordBatch.from_arrays([pa.array(a[s]), pa.array(b[s]), direct], names=["key", "node", "lead"])
+                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], names=["key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node, held, seen = [], [], 0, set()
@@ -246,19 +283,18 @@ def _candidate_links(docs: DataFrame, k: int, percent: int) -> DataFrame:
         last = (None, None)
         for batch in batches:
             key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            direct = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            out = [np.stack([key[direct], node[direct]], 1)]
-            key, node = key[~direct], node[~direct]
-            if len(key):
-                new = np.concatenate([[key[0] != last[0]], key[1:] != key[:-1]])
-                lead = np.where(np.cumsum(new) > 0, node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))], last[1] if last[1] is not None else 0)
-                more = ~new & (lead != node)
-                out.append(np.stack([lead[more], node[more]], 1))
-                last = (key[-1], lead[-1])
-            links = np.unique(np.concatenate(out), axis=0)
+            if not len(key):
+                continue
+            new = np.concatenate([[key[0] != last[0]], key[1:] != key[:-1]])
+            lead = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            if not new[0]:
+                lead[np.cumsum(new) == 0] = last[1]
+            more = lead != node
+            last = (key[-1], lead[-1])
+            links = np.unique(np.stack([lead[more], node[more]], 1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
 
-    rows = docs.mapInArrow(run, "key bigint, node bigint, lead bigint")
+    rows = docs.mapInArrow(run, "key bigint, node bigint")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a bigint, b bigint")
 
 
@@ -289,6 +325,28 @@ def _join_small(rows: DataFrame, percent: int) -> DataFrame:
     return rows.select("region", "node", "set").repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, "a bigint, b bigint")
 
 
+def _rare_step(rows: DataFrame, percent: int) -> DataFrame:
+    """Regions parted by the rarest shingles of their texts; texts that share none with another are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = _load(part.column(2).to_pylist())
+                need = prefix_length(np.array([len(s) for s in sets]), percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(need), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["region", "node", "need", "shingles"])
+
+    each = rows.select("region", "node", "set").mapInArrow(run, "region string, node bigint, need bigint, shingles array<bigint>")
+    each = each.select("region", "node", "need", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("region", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("region", "node").orderBy("often", "shingle"))
+    kept = save(each.join(often, ["region", "shingle"]).withColumn("rank", rank).where("rank <= need and often > 1").select("region", "node", "shingle"), "rare")
+    lead = kept.groupBy("region", "shingle").agg(F.min("node").alias("lead"))
+    comp = connected_components(kept.join(lead, ["region", "shingle"]).where("node <> lead").select("node", "lead"), "node", "lead")
+    new = F.concat_ws("~", "region", F.col("component").cast("string"))
+    return save(rows.join(comp, "node").select(new.alias("region"), "node", "set"), "regions")
+
+
 def _pivot_step(rows: DataFrame, percent: int) -> DataFrame:
     """One distributed Voronoi step: rows ``region, node, set, a, b`` (new regions, or links where a is given)."""
     # the pivots are the classes of least hash; they are found per salt first
@@ -335,7 +393,7 @@ def _join_blocks(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
 def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     """Links of all regions: small ones in their tasks, large ones split by pivots first."""
     found: list[DataFrame] = []
-    for step in range(SPLIT_ROUNDS + 1):
+    for step in range(-1, SPLIT_ROUNDS + 1):
         sizes = save(rows.groupBy("region").agg(F.sum(F.length("set")).alias("bytes")), "region-sizes")
         large = sizes.where(F.col("bytes") > REGION_BYTES)
         if large.isEmpty():
@@ -344,6 +402,9 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
         rest = rows.join(large.select("region"), "region", "left_semi")
         if step == SPLIT_ROUNDS:
             break
+        if step < 0:  # a text is in one region still
+            rows = _rare_step(rest, percent)
+            continue
         cut = save(_pivot_step(rest, percent), "region-step")
         found.append(save(cut.where("a is not null").select("a", "b"), "region-links"))
         comp = connected_components(_union(found))
@@ -393,7 +454,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                         rows.append((r, n, raw))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["region", "node", "set"])
 
-    texts = known.join(wanted.select(F.col("rep").alias("doc_id"), "region", "node"), "doc_id").select("doc_id", "text", "region", "node")
+    texts = known.join(wanted.select(F.col("rep").alias("doc_id"), "region", "node").hint("merge"), "doc_id").select("doc_id", "text", "region", "node")
     rows = save(texts.mapInArrow(collect, "region string, node bigint, set binary").dropDuplicates(["region", "node"]), "regions")
     comp = connected_components(_join_regions(rows, percent))
     least = classes.join(comp, "node").groupBy("component").agg(F.min("rep").alias("least"))
