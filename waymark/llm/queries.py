@@ -39,6 +39,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 SHARD_LIMIT = 32 << 20
 
 
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from waymark.llm.licenses import scan_documents
+
+    return scan_documents(table(spark, sf_dir, "documents"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from waymark.llm.sharding import assign_shards
 
@@ -79,5 +85,5 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op5_sharding, op6_decontamination, op7_html, op8_suffix, op9_vectors, op10_jaccard)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op4_licenses, op5_sharding, op6_decontamination, op7_html, op8_suffix, op9_vectors, op10_jaccard)}
 ORACLES: dict[str, str] = {"op2_lm_score": lm_score.oracle(), "op5_sharding": sharding.oracle(SHARD_LIMIT)}
