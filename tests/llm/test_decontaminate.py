@@ -22,7 +22,8 @@ def test_wand_retrieves_exactly_what_reaches_the_threshold(items, query, thresho
     got = index.search(set(query))
     assert {i for i, _ in got} == want and len(got) == len(want)
     assert all(abs(s - score[i]) < 1e-9 for i, s in got)
-    assert not want or query & index.essential
+    assert not want or index.possible(set(query))
+    assert {i for t in index.possible(set(query)) for i, _ in index.essential[t]} >= want
 
 
 def test_question_and_answer():

@@ -79,15 +79,29 @@ class Index:
             self.items[term], self.impacts[term] = [i for i, _ in got], [w for _, w in got]
             self.block_most[term] = [max(self.impacts[term][b : b + BLOCK]) for b in range(0, len(got), BLOCK)]
             self.most[term] = max(self.block_most[term])
-        # the lightest terms that stay under the threshold together cannot bring an item up to it
-        self.essential: set[str] = set()
-        for got in items.values():
+        # the lightest terms of an item, half of the threshold together at most, cannot bring it there:
+        # what its other (essential) terms must add at least is known
+        self.essential: dict[str, list[tuple[int, float]]] = defaultdict(list)
+        self.least: dict[int, float] = {}
+        for item, got in items.items():
             got.sort()
-            total = 0.0
+            light = 0.0
             for impact, term in got:
-                total += impact
-                if total >= threshold - 1e-9:
-                    self.essential.add(term)
+                if light + impact < threshold / 2:
+                    light += impact
+                else:
+                    self.essential[term].append((item, impact))
+            self.least[item] = threshold - light - 1e-9
+
+    def possible(self, terms: set[str]) -> set[str]:
+        """Essential terms of the items that any choice of these terms could bring to the threshold."""
+        have = terms & self.essential.keys()
+        sums: dict[int, float] = defaultdict(float)
+        for t in have:
+            for item, impact in self.essential[t]:
+                sums[item] += impact
+        items = {i for i, s in sums.items() if s >= self.least[i]}
+        return {t for t in have if any(i in items for i, _ in self.essential[t])} if items else set()
 
     def search(self, terms: set[str]) -> list[tuple[int, float]]:
         """All items that these terms score at or over the threshold, by block-max WAND."""
@@ -200,7 +214,10 @@ def _search(shared, window: int, threshold: float, question: float, answer: floa
 
     def leaks_of(text: str, index: Index, parts: dict) -> list[dict]:
         words = words_of(text)
-        essential, best = index.essential, {}
+        best: dict[int, dict] = {}
+        essential = index.possible(set(words))
+        if not essential:
+            return []
         known = [i for i, w in enumerate(words) if w in essential]
         last = -1
         for hit in known:
@@ -211,7 +228,8 @@ def _search(shared, window: int, threshold: float, question: float, answer: floa
                 last = s
                 lo = s * (window // 2)
                 passage = words[lo : lo + window]
-                for item, score in index.search(set(passage)):
+                terms = set(passage)
+                for item, score in index.search(terms) if index.possible(terms) else ():
                     if item in best and best[item]["bm25"] >= score:
                         continue
                     item_id, q, a = parts[item]
