@@ -82,7 +82,7 @@ def _in_blocks(rows: DataFrame, targets: DataFrame, n: int, best: Column) -> Dat
     blocks = -(-n // BLOCK)
     dealt = targets.groupBy(F.pmod(F.xxhash64("t"), F.lit(blocks)).alias("block")).agg(F.collect_list("t").alias("ts"))
     far = rows.where(~F.col("done")).withColumn("row", F.xxhash64("p", F.monotonically_increasing_id()))
-    far = far.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint")).join(dealt, "block")
+    far = far.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt, "block")
     far = far.select("row", "p", best.alias("b")).groupBy("row").agg(F.first("p").alias("p"), F.min("b").alias("b"))
     return rows.where("done").select("p", "b").unionByName(far.select("p", "b"))
 
