@@ -54,7 +54,10 @@ def test_linked_sets_share_a_key(n, out, extra, seed, percent):
     if np.array_equal(a, b) or not linked(np.int64(inter), np.int64(len(a)), np.int64(len(b)), percent):
         return
     bounds = size_bounds(percent)
-    assert set(part_keys(a, bounds, percent).tolist()) & set(part_keys(b, bounds, percent).tolist())
+    for share in (0, 0.3, 0.9, 1):
+        some = np.unique(np.concatenate([a, b]))
+        some = np.sort(some[rng.random(len(some)) < share])
+        assert set(part_keys(a, bounds, percent, some).tolist()) & set(part_keys(b, bounds, percent, some).tolist())
 
 
 def family(rng, n, size, change):

@@ -11,7 +11,8 @@ Most texts are at distance one from every pivot, and regions drawn at random wou
 The first regions are therefore made exactly from the sets: texts with equal sets are one class; the
 shingle space is cut by hash into parts, more than the differences that two linked texts can have,
 so linked texts agree on a part; and texts that agree on a part are put in one region. Parts of
-fewer than two shingles are left out where enough others remain to be certain.
+fewer than two shingles (at low thresholds: of none) are left out where enough others remain to be
+certain, and so are shingles that several texts of a sample share.
 
 Where pivots part nothing, texts are far from each other, and a text's rarest shingles within the
 region (so many that a linked text must share one) part them instead. A region over ``REGION_BYTES``
@@ -22,7 +23,8 @@ compared block against block. Only forests of links leave a task.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import ceil
+from functools import lru_cache
+from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ REGION_BYTES = 24 << 20
 #: Texts compared directly, pivots of a step, and keys a task holds before it passes them on.
 LEAF, PIVOTS, KEYS_AT_ONCE = 96, 16, 1 << 21
 SALTS, SPLIT_ROUNDS = 16, 4
+#: Texts sampled for frequent shingles, and frequent shingles kept, at most.
+SAMPLE, FREQUENT = 8_192, 500_000
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -57,11 +61,22 @@ def size_bounds(percent: int, top: int = 1 << 40) -> np.ndarray:
     return np.array(ends, np.int64)
 
 
-def part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of a set, at least one of which it shares with every set that it links with and differs from."""
+def part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """Keys of a set, at least one of which it shares with every set that it links with and differs from.
+
+    ``frequent`` is any sorted choice of shingles, the same for all sets. Without them two sets differ
+    no more than with them, so keys made without them serve as well, and texts that share a common
+    passage only have none of these in common. A set that is left too slight without them has keys
+    of both kinds; of two linked sets either one is not slight, and they share a key of the first
+    kind, or both are, and they share one of the second.
+    """
     n = len(hashes)
     c = int(np.searchsorted(bounds, n))
-    spread = mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+    rest = hashes
+    if frequent is not None and len(frequent):
+        pos = np.searchsorted(frequent, hashes)
+        pos[pos == len(frequent)] = 0
+        rest = hashes[frequent[pos] != hashes]
     out = []
     for context in (c - 1, c):  # with partners of the class below, and of this class or the one above
         if context < 0:
@@ -70,24 +85,57 @@ def part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int) -> np.ndarra
         large = min(int(bounds[context + 1]), small * 100 // percent)
         # |A ^ B| = a + b - 2 i and i >= percent * (a + b) / (100 + percent)
         differ = (100 - percent) * (small + large) // (100 + percent)
-        spare = ceil(0.12 * (differ + 1)) + 1
-        parts = differ + 1 + spare
         if differ == 0:
             continue  # linked sets of these sizes are equal
-        at = (spread % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(at, kind="stable")
-        held, first, count = np.unique(at[order], return_index=True, return_counts=True)
-        sums = np.add.reduceat(hashes[order], first)
-        if parts - int((count >= 2).sum()) <= spare:
-            held, sums = held[count >= 2], sums[count >= 2]
-        else:  # too many slight parts: all of them count, empty ones included
+        parts, least = part_count(int(bounds[context]), differ)
+        spare = parts - differ - 1
+        strong, sums = _parts(rest, parts, least)
+        enough = parts - len(strong) <= spare
+        out.append(_keys(strong, sums, 2 * context + 1))
+        if enough:
+            continue
+        strong, sums = _parts(hashes, parts, least)
+        if parts - len(strong) > spare:  # too many slight parts: all of them count, empty ones included
             full = np.zeros(parts, np.uint64)
-            full[held] = sums
-            held, sums = np.arange(parts), full
-        out.append(mix(sums + mix(held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(context + 1))))
+            held, some = _parts(hashes, parts, 1)
+            full[held] = some
+            strong, sums = np.arange(len(full)), full
+        out.append(_keys(strong, sums, 2 * context + 2))
     return np.concatenate(out) if out else hashes[:0]
 
 
+@lru_cache(maxsize=None)
+def part_count(size: int, differ: int) -> tuple[int, int]:
+    """Parts, and hashes that a part needs to count, for sets of about this size.
+
+    So many parts that more than ``differ`` of them should count: with two hashes if that can be, as
+    such parts rarely agree by chance, else with one.
+    """
+    for least in (2, 1):
+        parts = differ + 2
+        while parts < 4 * (differ + 2):
+            load = 0.92 * size / parts
+            slight = exp(-load) * (1 + load * (least == 2))
+            if parts * (1 - slight) - 2 * sqrt(parts * slight * (1 - slight)) >= differ + 1:
+                return parts, least
+            parts += max(1, parts // 64)
+    return 2 * (differ + 2), 1
+
+
+def _parts(hashes: np.ndarray, parts: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Parts with ``least`` hashes or more, and the sums of their hashes."""
+    if not len(hashes):
+        return np.zeros(0, np.int64), hashes
+    at = (mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    held, first, count = np.unique(at[order], return_index=True, return_counts=True)
+    return held[count >= least], np.add.reduceat(hashes[order], first)[count >= least]
+
+
+def _keys(held: np.ndarray, sums: np.ndarray, kind: int) -> np.ndarray:
+    return mix(sums + mix(held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)))
+
+
 # ---- regions within a task ----------------------------------------------------------------------
 
 
@@ -237,11 +285,28 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, c2 bigint")
 
 
-def _candidate_links(docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _frequent(docs: DataFrame, classes: DataFrame, k: int) -> np.ndarray:
+    """Shingles that several texts of a bounded sample share, sorted; they change speed only, never the result."""
+    picked = classes.orderBy("node").limit(SAMPLE).select(F.col("rep").alias("doc_id"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, texts in texts_of(batch, 0):
+                found = [s for s in shingle_sets(texts, k) if len(s)]
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["shingle"])
+
+    rows = docs.join(F.broadcast(picked), "doc_id").select("text").mapInArrow(run, "shingle bigint")  # SAMPLE ids are sent
+    best = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n"), "shingle").limit(FREQUENT).select("shingle")
+    return np.sort(best.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
+
+
+def _candidate_links(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """Links (a, b) between classes that share a part key, as stars; a key crosses the network once per task."""
     import hashlib
 
     bounds = size_bounds(percent)
+    shared = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT numbers at most
 
     def pairs(key: list[np.ndarray], node: list[int]) -> Iterator[pa.RecordBatch]:
         keys, nodes = np.concatenate(key), np.repeat(np.array(node, np.int64), [len(x) for x in key])
@@ -268,7 +333,7 @@ def _candidate_links(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     if me in seen:
                         continue
                     seen.add(me)
-                    got = part_keys(s, bounds, percent)
+                    got = part_keys(s, bounds, percent, shared.value)
                     key.append(got)
                     node.append(me)
                     held += len(got)
@@ -437,7 +502,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     sets = save(_sets(docs, words), "shingle-classes")
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
     known = docs.where("doc_id is not null and text is not null")
-    near = save(_candidate_links(known, words, percent).distinct(), "shingle-candidates")
+    near = save(_candidate_links(known, words, percent, _frequent(known, classes, words)).distinct(), "shingle-candidates")
     region = save(connected_components(near).select("node", F.col("component").cast("string").alias("region")), "shingle-regions")
     drop(near)
     wanted = save(region.join(classes, "node"), "shingle-wanted")
