@@ -26,7 +26,7 @@ from waymark.llm.shingles import buffers, combine, texts_of, word_hashes
 
 ALPHA = 0.4
 #: Text of a block, on average; blocks hold several times this in hashes.
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 3 << 20
 
 
 def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -129,9 +129,9 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BY
     def explode(t: pa.Table) -> pa.Table:
         _, hashes, _ = grams(t.column("text").to_pylist(), order)
         distinct, n = table(hashes)
-        cut = np.searchsorted(bucket_of(distinct, blocks), np.arange(blocks + 1))
-        block = t.column("block")[0].as_py()
-        out = [(k, block, squeeze(np.diff(distinct[a:b], prepend=np.uint64(0))), squeeze(n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)) if b > a]
+        buckets, cut = np.unique(bucket_of(distinct, blocks), return_index=True)
+        block, ends = t.column("block")[0].as_py(), np.append(cut, len(distinct))[1:]
+        out = [(k, block, squeeze(np.diff(distinct[a:b], prepend=np.uint64(0))), squeeze(n[a:b])) for k, a, b in zip(buckets.tolist(), cut.tolist(), ends.tolist(), strict=True)]
         return pa.table([pa.array([o[c] for o in out], ty) for c, ty in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "grams", "counts"])
 
     def total(t: pa.Table) -> pa.Table:
