@@ -8,7 +8,8 @@ would be unseen.
 Count tables are partitioned by the n-gram's hash. Documents are dealt to blocks of bounded text;
 each block explodes its n-grams of all orders, sends the distinct ones with their counts to the
 partitions of the count table, and is joined with the corpus totals that come back, in the order in
-which it sent the n-grams. The sums per document are then taken inside the block. An n-gram crosses
+which it sent the n-grams. Longer n-grams are asked for in later rounds, and only where both their
+parts were found in other documents. The sums per document are then taken inside the block. An n-gram crosses
 the network once per block that has it, however frequent it is, and no table is ever broadcast.
 """
 
@@ -68,36 +69,66 @@ def unsqueeze(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
-def scores(texts: list[str | None], totals: np.ndarray, distinct: np.ndarray, hashes: list[np.ndarray], of: np.ndarray, n_words: np.ndarray, corpus: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sum of log scores of each document, and how many of its words were scored at each order (0: unknown)."""
-    rest = []  # for each order and word: occurrences of its n-gram in other documents
-    for h in hashes:
-        here = np.flatnonzero(h)
-        at = np.searchsorted(distinct, h[here])
-        _, inverse, own = np.unique(of[here] * len(distinct) + at, return_inverse=True, return_counts=True)
-        n = np.zeros(len(h), np.int64)
-        n[here] = totals[at] - own[inverse]
-        rest.append(n)
-    log = np.zeros(len(of))
-    done = np.zeros(len(of), np.int64) - 1
-    for k in range(len(hashes), 0, -1):
-        use = (done < 0) & (rest[k - 1] > 0)
-        if k > 1:
-            base = np.zeros(len(of), np.int64)
-            base[1:] = rest[k - 2][:-1]  # the history ends one word earlier
-        else:
-            base = np.maximum(1, corpus - n_words[of])
-        log[use] = np.log(rest[k - 1][use] / base[use])
-        done[use] = k
-    unknown = done < 0
-    log[unknown] = np.log(0.5 / np.maximum(1, corpus - n_words[of[unknown]]))
-    done[unknown] = 0
-    # orders given up: from the longest n-gram that fits into the document
-    first = np.searchsorted(of, of)
-    longest = np.minimum(np.arange(len(of)) - first + 1, len(hashes))
-    log += np.log(ALPHA) * (longest - np.maximum(done, 1))
-    n = len(texts)
-    return np.bincount(of, log, n).astype(float), [np.bincount(of[done == k], minlength=n) for k in range(len(hashes) + 1)]
+def rounds_of(order: int) -> list[list[int]]:
+    """Orders that are counted together: words and pairs first, then one order after the other."""
+    return [list(range(1, min(order, 2) + 1)), *([k] for k in range(3, order + 1))]
+
+
+class Block:
+    """The n-grams of a block's documents, and what the count tables have answered about them so far."""
+
+    def __init__(self, texts: list[str | None], order: int) -> None:
+        self.n = len(texts)
+        self.of, self.hashes, self.n_words = grams(texts, order)
+        self.rest: list[np.ndarray] = []  # for each order and word: occurrences of its n-gram in other documents
+
+    def ask(self, orders: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct n-grams of these orders that other documents may have, and their counts in the block.
+
+        An n-gram of three words or more found elsewhere has both its parts found elsewhere, so only
+        such n-grams are asked for; all documents that share one ask for it.
+        """
+        for k in orders:
+            if k > 2:
+                part = self.rest[k - 2] > 0
+                both = part.copy()
+                both[1:] &= part[:-1]
+                both[:1] = False
+                self.hashes[k - 1] = np.where(both, self.hashes[k - 1], 0)
+        return table([self.hashes[k - 1] for k in orders])
+
+    def answer(self, orders: list[int], totals: np.ndarray) -> None:
+        distinct, _ = self.ask(orders)
+        assert len(totals) == len(distinct), "the text of a block changed between two reads"
+        for k in orders:
+            h = self.hashes[k - 1]
+            here = np.flatnonzero(h)
+            at = np.searchsorted(distinct, h[here])
+            _, inverse, own = np.unique(self.of[here] * len(distinct) + at, return_inverse=True, return_counts=True)
+            n = np.zeros(len(h), np.int64)
+            n[here] = totals[at] - own[inverse]
+            self.rest.append(n)
+
+    def scores(self, corpus: int) -> tuple[np.ndarray, list[np.ndarray]]:
+        """Sum of log scores of each document, and how many of its words were scored at each order (0: unknown)."""
+        of, order = self.of, len(self.rest)
+        log, done = np.zeros(len(of)), np.zeros(len(of), np.int64) - 1
+        for k in range(order, 0, -1):
+            use = (done < 0) & (self.rest[k - 1] > 0)
+            if k > 1:
+                base = np.zeros(len(of), np.int64)
+                base[1:] = self.rest[k - 2][:-1]  # the history ends one word earlier
+            else:
+                base = np.maximum(1, corpus - self.n_words[of])
+            log[use] = np.log(self.rest[k - 1][use] / base[use])
+            done[use] = k
+        unknown = done < 0
+        log[unknown] = np.log(0.5 / np.maximum(1, corpus - self.n_words[of[unknown]]))
+        done[unknown] = 0
+        # orders given up: from the longest n-gram that fits into the document
+        longest = np.minimum(np.arange(len(of)) - np.searchsorted(of, of) + 1, order)
+        log += np.log(ALPHA) * (longest - np.maximum(done, 1))
+        return np.bincount(of, log, self.n).astype(float), [np.bincount(of[done == k], minlength=self.n) for k in range(order + 1)]
 
 
 def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -126,12 +157,20 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BY
     corpus, blocks = sums[0] or 0, max(1, ceil((sums[1] or 0) / block_bytes))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
 
-    def explode(t: pa.Table) -> pa.Table:
-        _, hashes, _ = grams(t.column("text").to_pylist(), order)
-        distinct, n = table(hashes)
+    rounds = rounds_of(order)
+
+    def read(left: pa.Table, right: pa.Table | None, answered: int) -> Block:
+        block = Block(left.column("text").to_pylist(), order)
+        for k in range(answered):
+            got = sorted((b, t) for r, b, t in zip(right.column("round").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True) if r == k)
+            block.answer(rounds[k], np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(t) for _, t in got)]).astype(np.int64))
+        return block
+
+    def explode(block: Block, number: int, k: int) -> pa.Table:
+        distinct, n = block.ask(rounds[k])
         buckets, cut = np.unique(bucket_of(distinct, blocks), return_index=True)
-        block, ends = t.column("block")[0].as_py(), np.append(cut, len(distinct))[1:]
-        out = [(k, block, squeeze(np.diff(distinct[a:b], prepend=np.uint64(0))), squeeze(n[a:b])) for k, a, b in zip(buckets.tolist(), cut.tolist(), ends.tolist(), strict=True)]
+        ends = np.append(cut, len(distinct))[1:]
+        out = [(b, number, squeeze(np.diff(distinct[x:y], prepend=np.uint64(0))), squeeze(n[x:y])) for b, x, y in zip(buckets.tolist(), cut.tolist(), ends.tolist(), strict=True)]
         return pa.table([pa.array([o[c] for o in out], ty) for c, ty in enumerate((pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "block", "grams", "counts"])
 
     def total(t: pa.Table) -> pa.Table:
@@ -142,22 +181,33 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BY
         answers = [squeeze(sums[inverse[a:b]]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return pa.table([t.column("block").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(answers, pa.binary())], names=["block", "bucket", "totals"])
 
-    sent = dealt.groupBy("block").applyInArrow(explode, "bucket bigint, block bigint, grams binary, counts binary")
-    back = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(total, "block bigint, bucket bigint, totals binary").repartition(blocks, "block")
+    def first(t: pa.Table) -> pa.Table:
+        return explode(read(t, None, 0), t.column("block")[0].as_py(), 0)
+
+    def later(k: int):
+        def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            return explode(read(left, right, k), left.column("block")[0].as_py(), k)
+
+        return run
+
+    asked, answers = "bucket bigint, block bigint, grams binary, counts binary", None
+    for k in range(len(rounds)):
+        if answers is None:
+            sent = dealt.groupBy("block").applyInArrow(first, asked)
+        else:
+            sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later(k), asked)
+        back = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(total, "block bigint, bucket bigint, totals binary").withColumn("round", F.lit(k))
+        back = back.repartition(blocks, "block")
+        answers = back if answers is None else answers.unionByName(back)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        texts = left.column("text").to_pylist()
-        of, hashes, n_words = grams(texts, order)
-        distinct, _ = table(hashes)
-        answers = sorted(zip(right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True))
-        totals = np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(t) for _, t in answers)]).astype(np.int64)
-        assert len(totals) == len(distinct), "the text of a block changed between two reads"
-        log, by = scores(texts, totals, distinct, hashes, of, n_words, corpus)
-        mean = [x / n if n else None for x, n in zip(log.tolist(), n_words.tolist(), strict=True)]
-        return pa.table([left.column("doc_id").combine_chunks(), pa.array(n_words.astype(np.int64)), pa.array(log), pa.array(mean, pa.float64()), *(pa.array(b.astype(np.int64)) for b in by)], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_unknown", *names])
+        block = read(left, right, len(rounds))
+        log, by = block.scores(corpus)
+        mean = [x / n if n else None for x, n in zip(log.tolist(), block.n_words.tolist(), strict=True)]
+        return pa.table([left.column("doc_id").combine_chunks(), pa.array(block.n_words.astype(np.int64)), pa.array(log), pa.array(mean, pa.float64()), *(pa.array(b.astype(np.int64)) for b in by)], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_unknown", *names])
 
     schema = "doc_id bigint, n_words bigint, log_score double, mean_log_score double, n_unknown bigint, " + ", ".join(f"{n} bigint" for n in names)
-    return dealt.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(finish, schema)
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)
 
 
 def oracle(table: str = "documents") -> str:
