@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from waymark.llm.shingles import buffers, combine, texts_of, word_hashes
 
 ALPHA = 0.4
+#: Bits of an n-gram's hash. Of ten trillion different n-grams about one in ten thousand shares its hash.
+HASH_BITS = 56
 #: Text of a block, on average; blocks hold several times this in hashes.
 BLOCK_BYTES = 3 << 20
 
@@ -42,7 +44,7 @@ def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndar
     for k in range(1, order + 1):
         h = np.zeros(len(words), np.uint64)
         if len(words) >= k:
-            got = combine(words, k)
+            got = combine(words, k) >> np.uint64(64 - HASH_BITS)
             got[got == 0] = 1
             h[k - 1 :] = np.where(of[k - 1 :] == of[: len(of) - k + 1], got, 0)
         out.append(h)
@@ -57,7 +59,7 @@ def table(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     """Partition of the count table; it rises with the hash."""
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def squeeze(values: np.ndarray) -> bytes:
