@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shingles import texts_of
+from waymark.llm.shingles import release_others, texts_of, worker_cache
 from waymark.plans.storage import save
 
 K1, B = 1.2, 0.75
@@ -205,7 +205,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, threshold: float = 0.6, questi
     return out
 
 
-_INDEXES: dict[str, tuple[Index, dict]] = {}
+_INDEXES: dict[str, tuple[Index, dict]] = worker_cache("decontaminate")
 
 
 def _search(shared, window: int, threshold: float, question: float, answer: float, at: int, names: list[str], step: int):
@@ -239,6 +239,7 @@ def _search(shared, window: int, threshold: float, question: float, answer: floa
         return [best[i] for i in sorted(best)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("decontaminate")
         if key not in _INDEXES:
             while len(_INDEXES) > 1:
                 _INDEXES.pop(next(iter(_INDEXES)))

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.shingles import mix, shingle_sets, texts_of
+from waymark.llm.shingles import mix, release_others, shingle_sets, texts_of
 from waymark.operators.components import connected_components
 from waymark.plans.storage import drop, save
 
 #: Sets of a region that one task may hold, in bytes; larger regions are split by distributed jobs.
 REGION_BYTES = 24 << 20
 #: Texts compared directly, pivots of a step, and keys a task holds before it passes them on.
-LEAF, PIVOTS, KEYS_AT_ONCE = 96, 16, 1 << 21
+LEAF, PIVOTS, KEYS_AT_ONCE = 96, 16, 1 << 20
 SALTS, SPLIT_ROUNDS = 16, 4
 #: Texts sampled for frequent shingles, and frequent shingles kept, at most.
 SAMPLE, FREQUENT = 8_192, 500_000
@@ -272,6 +272,7 @@ def _sets(docs: DataFrame, k: int) -> DataFrame:
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("jaccard")
         for batch in batches:
             for at, texts in texts_of(batch, 1):
                 n, c1, c2 = [], [], []
@@ -323,6 +324,7 @@ def _candidate_links(docs: DataFrame, k: int, percent: int, frequent: np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], names=["key", "node"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("jaccard")
         key, node, held, seen = [], [], 0, set()
         for batch in batches:
             for _, texts in texts_of(batch, 1):
@@ -375,6 +377,7 @@ def _join_small(rows: DataFrame, percent: int) -> DataFrame:
     """Links within regions that fit a task. Rows arrive region by region and are joined as each ends."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("jaccard")
         region, nodes, sets = None, [], []
         for batch in batches:
             for r, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):

@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from waymark.llm.shingles import release_others, worker_cache
 from waymark.plans.storage import save
 
 #: Words cached per worker before the cache starts anew, and texts encoded at once.
-CACHE_WORDS, TEXTS_AT_ONCE = 1_000_000, 500
+CACHE_WORDS, TEXTS_AT_ONCE = 700_000, 500
 
 
 def nnls(a: np.ndarray, h: np.ndarray, rounds: int = 600) -> np.ndarray:
@@ -238,7 +239,7 @@ class WordEncoder:
         return [np.array(self._whole(texts[i].as_py()), np.uint32) if special[i] else ids[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, WordEncoder] = worker_cache("packing")
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, part int, slot bigint"
 
 
@@ -248,6 +249,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("packing")
         enc = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
         part, slots, end = TaskContext.get().partitionId(), defaultdict(int), np.array(end_id, "<u4").tobytes()
         for whole in batches:

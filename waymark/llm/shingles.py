@@ -106,6 +106,22 @@ def shingle_sets(texts: list[str | None], k: int) -> Iterator[np.ndarray]:
                 yield all_[:0]
 
 
+#: Caches that an operator keeps in a Python worker between tasks.
+_CACHES: dict[str, dict] = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """The cache of ``owner`` in this worker."""
+    return _CACHES.setdefault(owner, {})
+
+
+def release_others(owner: str) -> None:
+    """Empty the caches that other operators have left in this worker; called as a task starts."""
+    for name, cache in _CACHES.items():
+        if name != owner:
+            cache.clear()
+
+
 def texts_of(batch: pa.RecordBatch, column: int, at_once: int = 256) -> Iterator[tuple[int, list[str | None]]]:
     """The texts of a batch, a few at a time."""
     for at in range(0, batch.num_rows, at_once):

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shingles import texts_of
+from waymark.llm.shingles import release_others, texts_of, worker_cache
 from waymark.plans.storage import save
 
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -29,7 +29,7 @@ TOXIC_ROWS, CLEAN_ROWS = 6_000, 12_000
 #: Terms of the lexicon at most, and the evidence (log-likelihood ratio, odds) that a term needs.
 TERMS, LEAST_LLR, LEAST_LOG_ODDS = 512, 25.0, 2.0
 WINDOW = 6
-CACHE = 400_000
+CACHE = 300_000
 
 # Marks and words that tell quotation and address, in the languages served.
 QUOTES = "\"“”„«»‘’‚‹›`"
@@ -129,7 +129,7 @@ class ToxicityModel:
 
 
 N_FEATURES = 5
-_AUTOMATA: dict[tuple, LexiconAutomaton] = {}
+_AUTOMATA: dict[tuple, LexiconAutomaton] = worker_cache("toxicity")
 
 
 def automaton(terms: tuple[str, ...]) -> LexiconAutomaton:
@@ -256,6 +256,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_co
     at = keep.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_others("toxicity")
         w = np.array(model.coefficients)
         for b in batches:
             got = np.zeros((b.num_rows, N_FEATURES))
