@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -68,3 +69,45 @@ def test_repeated_rows_and_nulls(spark):
     pieces = pipeline.pack_sequences(spark, out, SF).collect()
     assert len(pieces) == 4 and len({r.sequence_id for r in pieces}) == 1
     assert sum(r.ids_crc32 == zlib.crc32(b"\1\0\0\0") for r in pieces) == 3
+
+
+def test_passages_of_51_words_go(spark):
+    rng = random.Random(5)
+    word = lambda n: "".join(rng.choice("abcdefgèß") for _ in range(n))
+    prose = lambda n: " ".join(word(5) for _ in range(n))
+    shared, short, tiny, bytes_ = prose(51), prose(50), " ".join(word(1) for _ in range(51)), word(450)
+    assert 300 <= len(shared.encode()) < 400
+    docs = [(1, f"{prose(30)} {shared} {prose(30)}"), (2, f"é ({shared}), end"), (3, f"x {short} y"), (4, f"z {short} w"), (5, f"one {tiny} two"), (6, f"three\n{tiny}\nfour"), (7, f"v {bytes_}"), (8, f"u {bytes_}"), (9, shared), (10, None)]
+    frame = spark.createDataFrame([(i, t, t and len(t)) for i, t in docs], "doc_id bigint, text string, n_chars bigint")
+    rows = {r.doc_id: r for r in pipeline.drop_repeated_passages(spark, frame, SF).collect()}
+    want = dict(docs) | {2: "é (), end", 6: "three\n\nfour", 8: "u"}
+    del want[9]
+    assert {i: r.text and r.text.strip(" ") if i == 8 else r.text for i, r in rows.items()} == want
+    assert all(r.n_chars == (r.text and len(r.text)) for r in rows.values())
+
+
+def test_word_passages_against_brute_force(spark):
+    """No later 51-word passage of the sample stays, and only repeated words and bytes go."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    held = {r.doc_id: r.text or "" for r in docs.collect()}
+    seen, want = set(), {}
+    for i in sorted(held):
+        w = [pipeline._bare(x) for x in held[i].split()]
+        gone = [False] * len(w)
+        for k in range(len(w) - 50):
+            key = tuple(w[k : k + 51])
+            if key in seen:
+                gone[k : k + 51] = [True] * 51
+            seen.add(key)
+        want[i] = gone
+    by_bytes = {i: k.decode("utf-8", "ignore") for i, (_, k) in repeats(sorted(held.items()), 400, True).items()}
+    rows = {r.doc_id: r.text or "" for r in pipeline.drop_repeated_passages(spark, docs, SF).collect()}
+    assert any(any(g) for g in want.values())
+    for i, gone in want.items():
+        left = rows.get(i, "")
+        assert len(left) <= len(by_bytes[i]) + 4
+        if not any(gone):
+            assert abs(len(left) - len(by_bytes[i])) <= 4
+        else:
+            words = [w for w, g in zip(held[i].split(), gone, strict=True) if not g]
+            assert len(left.split()) <= len(words) + 2 * sum(a != b for a, b in zip(gone, gone[1:])) + 2
