@@ -49,3 +49,16 @@ def test_odd_rows(spark):
     rows = scan_documents(docs, model).collect()
     assert len(rows) == 3 and sorted(str(r.license) for r in rows) == ["MIT", "None", "None"]
     assert scan_documents(docs.limit(0), model).count() == 0 and fit(docs.limit(0)).weights.shape[1] == len(FAMILIES)
+
+
+def test_ordinary_text_takes_no_statement_away():
+    ordinary = ["The park is available to the public and under the domain of the work of many.", "They work under a public domain that is available to any person who may use the source."]
+    prose = "the old road went over a hill " * 8
+    model = train([*ordinary, prose] * 5)
+    for family, texts in TEMPLATES.items():
+        for t in texts:
+            assert any(f == family for _, f, _, _ in scan(t, model)), t
+            assert any(f == family for _, f, _, _ in scan(f"{prose}{t} {prose}", model)), t
+    for t, family in (("CC BY 4.0", "CC-BY"), ("CC BY-SA 4.0", "CC-BY-SA"), ("CC BY-NC 4.0", "CC-BY-NC")):
+        assert [(f, c) for _, f, _, c in scan(t, model)] == [(family, True)]
+    assert all(scan(t, model) == [] for t in [*ordinary, prose])

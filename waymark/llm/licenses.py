@@ -51,12 +51,31 @@ FILLERS = ["Copyright (c) 2019 The Authors.", "See the file for details.", "All
 
 FAMILIES = [*TEMPLATES, "unknown", "none"]
 _WORD = re.compile(r"[a-z0-9]+")
+#: Words of templates that alone say nothing of a licence (with "mit" and "sa", words of other languages); beside them stands a cue.
+PLAIN = frozenset("a above all and any appear are as at be by c can either everyone following for found free in including into is it later list mit modify no not of only option or part please provided published purpose see sa terms that the this thus to under v who with without you your".split())
+#: Words between two cues of prose that make them two statements, and words read on either side.
+GAP, AROUND = 8, 4
 
 
 def words_of(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+#: Words that make a paragraph worth classifying. They come from the templates alone: no text of the corpus takes one away.
+CUES = frozenset(v for ts in [*TEMPLATES.values(), [t.replace("{}", " ") for t in UNKNOWN]] for t in ts for v in words_of(t) if not v.isdigit()) - PLAIN
+
+
+def stretches(words: list[str]) -> list[list[str]]:
+    """What the classifier reads of a paragraph: all of a short one, of prose the words around its cues; nothing without a cue."""
+    if CUES.isdisjoint(words):
+        return []
+    if len(words) <= 20:
+        return [words]
+    cue = [i for i, w in enumerate(words) if w in CUES]
+    cut = [0, *(k for k in range(1, len(cue)) if cue[k] - cue[k - 1] > GAP), len(cue)]
+    return [words[max(0, cue[a] - AROUND) : cue[b - 1] + AROUND + 1] for a, b in zip(cut, cut[1:])]
+
+
 def slots(words: list[str]) -> np.ndarray:
     """Hashed uni- and bigrams, each once."""
     grams = {*words, *(f"{a} {b}" for a, b in zip(words, words[1:]))}
@@ -67,7 +86,6 @@ def slots(words: list[str]) -> np.ndarray:
 class LicenseModel:
     weights: np.ndarray  # DIM + 1 rows, the intercept last
     temperature: float
-    cues: frozenset[str]
 
     def probabilities(self, words: list[str]) -> np.ndarray:
         at = slots(words)
@@ -108,7 +126,8 @@ def train(ordinary: list[str], seed: int = 11) -> LicenseModel:
         name = "".join(rng.choice("aeioubcdfglmnrst") for _ in range(rng.randrange(4, 9))).title()
         texts.append(rng.choice(UNKNOWN).format(name, rng.randrange(1, 9)))
         labels.append(len(FAMILIES) - 2)
-    ordinary = [*FILLERS, *ordinary]
+    # ordinary prose also as it is read around a cue
+    ordinary = [*FILLERS, *ordinary, *(" ".join(p) for t in ordinary for w in [words_of(t)] if len(w) > 20 for p in stretches(w))]
     texts += ordinary
     labels += [len(FAMILIES) - 1] * len(ordinary)
     order = list(range(len(texts)))
@@ -147,10 +166,7 @@ def train(ordinary: list[str], seed: int = 11) -> LicenseModel:
         return float(np.mean(np.log(np.exp(q).sum(1)) - q[np.arange(len(q)), y[cut:]]))
 
     temperature = min(np.geomspace(0.05, 20, 60), key=loss)
-    plain = {v for t in ordinary for v in words_of(t)} - {v for t in FILLERS for v in words_of(t)}
-    stated = {v for ts in TEMPLATES.values() for t in ts for v in words_of(t)} | {v for t in UNKNOWN for v in words_of(t.replace("{}", " "))}
-    cues = frozenset(v for v in stated - plain if len(v) > 2 and not v.isdigit())
-    return LicenseModel(w, float(temperature), cues)
+    return LicenseModel(w, float(temperature))
 
 
 def _containment(a: set[str], b: set[str]) -> float:
@@ -169,25 +185,21 @@ def confirmed(family: str, words: list[str]) -> bool:
 def scan(text: str, model: LicenseModel) -> list[tuple[int, str, float, bool]]:
     """Licence paragraphs of a text: (paragraph, family, probability, confirmed).
 
-    Paragraphs are lines. One without any word that only licences use is ordinary text.
+    Paragraphs are lines. One without any cue of the templates (``CUES``) is ordinary text.
     """
     out = []
     for k, line in enumerate(text.split("\n")):
-        words = words_of(line)
-        if model.cues.isdisjoint(words):
-            continue
         best: dict[str, tuple[float, bool]] = {}
-        for at in range(0, max(1, len(words) - WINDOW // 2), WINDOW // 2):
-            part = words[at : at + WINDOW]
-            if len(words) > 20:  # within prose: the stretch around the first and last cue
-                cue = [i for i, w in enumerate(part) if w in model.cues]
-                if not cue:
-                    continue
-                part = part[max(0, cue[0] - 4) : cue[-1] + 5]
+        for part in [p[at : at + WINDOW] for p in stretches(words_of(line)) for at in range(0, max(1, len(p) - WINDOW // 2), WINDOW // 2)]:
             p = model.probabilities(part)
             top = int(p.argmax())
-            if FAMILIES[top] == "none":
-                continue
+            if FAMILIES[top] == "none":  # the words around may outweigh a short statement, which must then be confirmed
+                cue = [i for i, w in enumerate(part) if w in CUES]
+                part = part[max(0, cue[0] - 1) : cue[-1] + 2] if cue else []
+                p = model.probabilities(part)
+                top = int(p.argmax())
+                if p[top] < CERTAIN or len(part) < 3 or not confirmed(FAMILIES[top], part):
+                    continue
             family = FAMILIES[top] if p[top] >= CERTAIN else "unknown"
             got = (float(p[top]), family != "unknown" and confirmed(family, part))
             best[family] = max(best.get(family, (0.0, False)), got, key=lambda g: (g[1], g[0]))
