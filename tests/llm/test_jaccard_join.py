@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from waymark.llm import jaccard_join
-from waymark.llm.jaccard_join import jaccard_components, linked, metric_join, part_keys, size_bounds
+from waymark.llm.jaccard_join import jaccard_components, linked, metric_join, prefix, required, voronoi
 
 
 def shingles(text, k=4):
@@ -45,19 +45,32 @@ def got(df):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.integers(1, 120), st.integers(0, 20), st.integers(0, 20), st.integers(0, 2**32), st.sampled_from([80, 85, 95]))
-def test_linked_sets_share_a_key(n, out, extra, seed, percent):
+@given(st.integers(1, 300), st.integers(0, 40), st.integers(0, 40), st.integers(0, 2**32), st.sampled_from([50, 80, 85, 95]))
+def test_linked_sets_share_enough_of_their_prefixes(n, out, extra, seed, percent):
     rng = np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
     b = np.unique(np.concatenate([a[min(out, len(a) - 1) :], rng.integers(0, 2**63, extra).astype(np.uint64)]))
     inter = len(np.intersect1d(a, b))
-    if np.array_equal(a, b) or not linked(np.int64(inter), np.int64(len(a)), np.int64(len(b)), percent):
+    if not linked(np.int64(inter), np.int64(len(a)), np.int64(len(b)), percent):
         return
-    bounds = size_bounds(percent)
     for share in (0, 0.3, 0.9, 1):
         some = np.unique(np.concatenate([a, b]))
         some = np.sort(some[rng.random(len(some)) < share])
-        assert set(part_keys(a, bounds, percent, some).tolist()) & set(part_keys(b, bounds, percent, some).tolist())
+        common = len(set(prefix(a, percent, some).tolist()) & set(prefix(b, percent, some).tolist()))
+        assert common >= max(required(len(a), percent), required(len(b), percent))
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.integers(0, 2**32), st.sampled_from([0.05, 0.15, 0.2, 0.5]))
+def test_linked_texts_meet_in_a_cell(seed, radius):
+    """Points of a plane stand for texts: any two within the radius share a cell."""
+    rng = np.random.default_rng(seed)
+    at = rng.random((60, 2)) * rng.choice([0.3, 1, 2])
+    apart = np.minimum(1, np.abs(at[:, None] - at[None]).max(2))
+    cells, beyond = voronoi(apart[:, :5], radius)
+    assert (cells.any(1) | beyond).all()
+    for i, j in zip(*np.nonzero(apart <= radius), strict=True):
+        assert (cells[i] & cells[j]).any() or beyond[i] and beyond[j]
 
 
 def family(rng, n, size, change):
@@ -100,15 +113,31 @@ def near_copies():
     return docs
 
 
-@pytest.mark.parametrize("bound, rounds", [(1 << 30, 4), (4000, 1), (4000, 0)])
-def test_regions_of_any_size(spark, monkeypatch, bound, rounds):
-    monkeypatch.setattr(jaccard_join, "REGION_BYTES", bound)
+@pytest.mark.parametrize("texts, rounds", [(10_000, 4), (20, 1), (20, 4), (20, 0)])
+def test_regions_of_any_size(spark, monkeypatch, texts, rounds):
+    monkeypatch.setattr(jaccard_join, "REGION_TEXTS", texts)
     monkeypatch.setattr(jaccard_join, "SPLIT_ROUNDS", rounds)
     docs = near_copies()
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as node", "'r' as region")
     assert got(jaccard_components(df)) == brute(docs, 85)
 
 
+def test_sets_whose_digests_begin_alike(spark, monkeypatch):
+    docs = [(1, "a b c d"), (2, "e f g h"), (3, "a b c d"), (4, "i j k l")]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string")
+    sets = jaccard_join._sets(df, 4).selectExpr("n_shingles", "cast(7 as bigint) as node", "c2")
+    assert jaccard_join._collided(sets) == {7} and jaccard_join._collided(sets.limit(1)) == frozenset()
+    first = {r.node for r in jaccard_join._sets(df, 4).collect()}
+    monkeypatch.setattr(jaccard_join, "_collided", lambda sets: frozenset(first))
+    assert got(jaccard_components(df)) == brute(docs, 85)
+
+
+def test_ids_dealt_where_they_are_many(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "SENT_IDS", 0)
+    docs = near_copies()
+    assert got(jaccard_components(spark.createDataFrame(docs, "doc_id bigint, text string"))) == brute(docs, 85)
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a b c d"), (1, "a b c d"), (None, "a b c d"), (2, "A B C D"), (None, None)], "doc_id bigint, text string")
     assert sorted(map(tuple, jaccard_components(df).collect()), key=str) == sorted([(1, 1, 1), (1, 1, 1), (None, 1, None), (2, 1, 1), (None, 0, None)], key=str)

@@ -1,48 +1,56 @@
 """Exact Jaccard self-join of word-shingle sets in metric space, by pivots and Voronoi regions.
 
-Jaccard distance is a metric. Within a region of texts, pivots are drawn; every text learns its
-distance to each pivot, links with pivots within the radius, goes to the region of its nearest pivot
+Jaccard distance is a metric. In a region of texts, pivots are drawn and every text learns its
+distance to each. It links with pivots within the radius; it goes to the cell of its nearest pivot
 and, where the triangle inequality cannot exclude a partner there (its distance to a pivot is within
-twice the radius of its least distance), to that region too. Regions are joined in the same way,
-recursively, down to small ones that are compared directly. A region whose texts are already in one
-component needs no further comparison, so a group of near copies costs little more than its pivots.
-
-Most texts are at distance one from every pivot, and regions drawn at random would not part them.
-The first regions are therefore made exactly from the sets: texts with equal sets are one class; the
-shingle space is cut by hash into parts, more than the differences that two linked texts can have,
-so linked texts agree on a part; and texts that agree on a part are put in one region. Parts of
-fewer than two shingles (at low thresholds: of none) are left out where enough others remain to be
-certain, and so are shingles that several texts of a sample share.
-
-Where pivots part nothing, texts are far from each other, and a text's rarest shingles within the
-region (so many that a linked text must share one) part them instead. A region over ``REGION_BYTES``
-is split by the same two steps as distributed jobs, rare shingles first; one that neither shrinks is
-compared block against block. Only forests of links leave a task.
+twice the radius of its least distance), to that cell too. Texts far from every pivot go to a cell of
+their own, which overlaps the others by one radius, so that no linked pair is parted. Cells are joined
+in the same way, recursively, down to small ones that are compared directly. A region whose texts are
+already in one component needs no further comparison, so a group of near copies costs little more
+than its pivots.
+
+Most texts of a corpus are at distance one from every other, and a Voronoi partition of them would
+replicate each everywhere. They are set aside first, exactly: linked sets share most of their
+shingles, so of a prefix of either's shingles in one fixed order they share a known number, and a text
+that has fewer of its prefix in common with all others together links with none. Of what stays, texts
+that share a prefix shingle, directly or through others, form the regions where the metric join begins.
+
+Where pivots part nothing, a text's rarest shingles within the region (so many that a linked text must
+share one) do. Regions over ``REGION_BYTES`` or ``REGION_TEXTS`` are split by the same steps as
+distributed jobs; one that no step shrinks is compared block against block. Only forests of links
+leave a task.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
-from math import exp, sqrt
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.shingles import mix, release_others, shingle_sets, texts_of
+from waymark.llm.shingles import release_others, shingle_sets, texts_of
 from waymark.operators.components import connected_components
 from waymark.plans.storage import drop, save
 
-#: Sets of a region that one task may hold, in bytes; larger regions are split by distributed jobs.
-REGION_BYTES = 24 << 20
+#: Sets of a region that one task may hold, in bytes and in number; larger regions are split by distributed jobs.
+REGION_BYTES, REGION_TEXTS = 24 << 20, 512
 #: Texts compared directly, pivots of a step, and keys a task holds before it passes them on.
-LEAF, PIVOTS, KEYS_AT_ONCE = 96, 16, 1 << 20
+LEAF, PIVOTS, KEYS_AT_ONCE = 48, 16, 1 << 20
 SALTS, SPLIT_ROUNDS = 16, 4
+#: Cells that the texts of a region may go to on average; regions where pivots part less are split otherwise.
+SPREAD = 4
+#: Of a hundred shingles, those that a prefix holds beyond the fewest that could do, and so many it must share.
+EXTRA = 8
 #: Texts sampled for frequent shingles, and frequent shingles kept, at most.
 SAMPLE, FREQUENT = 8_192, 500_000
+#: Different sets whose digests begin alike that are told apart, at most (at 25 billion sets, about 17).
+COLLIDED = 100_000
+#: Ids that are sent to every task; with more, texts and ids are dealt by id.
+SENT_IDS = 100_000
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -50,90 +58,39 @@ def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * inter >= percent * (a + b - inter)
 
 
-# ---- first regions ------------------------------------------------------------------------------
+# ---- prefixes -----------------------------------------------------------------------------------
 
 
-def size_bounds(percent: int, top: int = 1 << 40) -> np.ndarray:
-    """Upper ends of size classes such that linked sets lie in one class or in neighbouring ones."""
-    ends = [1]
-    while ends[-1] < top:
-        ends.append(max(ends[-1] + 1, ends[-1] * 100 // percent))
-    return np.array(ends, np.int64)
+def shared_least(n, percent: int):
+    """Sets linked with one of ``n`` shingles have at least so many in common with it."""
+    return -(-n * percent // 100)
 
 
-def part_keys(hashes: np.ndarray, bounds: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
-    """Keys of a set, at least one of which it shares with every set that it links with and differs from.
+def beyond(n):
+    """Shingles of a prefix beyond the first that linked sets must share."""
+    return np.maximum(1, n * EXTRA // 100)
 
-    ``frequent`` is any sorted choice of shingles, the same for all sets. Without them two sets differ
-    no more than with them, so keys made without them serve as well, and texts that share a common
-    passage only have none of these in common. A set that is left too slight without them has keys
-    of both kinds; of two linked sets either one is not slight, and they share a key of the first
-    kind, or both are, and they share one of the second.
-    """
-    n = len(hashes)
-    c = int(np.searchsorted(bounds, n))
-    rest = hashes
-    if frequent is not None and len(frequent):
-        pos = np.searchsorted(frequent, hashes)
-        pos[pos == len(frequent)] = 0
-        rest = hashes[frequent[pos] != hashes]
-    out = []
-    for context in (c - 1, c):  # with partners of the class below, and of this class or the one above
-        if context < 0:
-            continue
-        small = int(bounds[context])
-        large = min(int(bounds[context + 1]), small * 100 // percent)
-        # |A ^ B| = a + b - 2 i and i >= percent * (a + b) / (100 + percent)
-        differ = (100 - percent) * (small + large) // (100 + percent)
-        if differ == 0:
-            continue  # linked sets of these sizes are equal
-        parts, least = part_count(int(bounds[context]), differ)
-        spare = parts - differ - 1
-        strong, sums = _parts(rest, parts, least)
-        enough = parts - len(strong) <= spare
-        out.append(_keys(strong, sums, 2 * context + 1))
-        if enough:
-            continue
-        strong, sums = _parts(hashes, parts, least)
-        if parts - len(strong) > spare:  # too many slight parts: all of them count, empty ones included
-            full = np.zeros(parts, np.uint64)
-            held, some = _parts(hashes, parts, 1)
-            full[held] = some
-            strong, sums = np.arange(len(full)), full
-        out.append(_keys(strong, sums, 2 * context + 2))
-    return np.concatenate(out) if out else hashes[:0]
-
-
-@lru_cache(maxsize=None)
-def part_count(size: int, differ: int) -> tuple[int, int]:
-    """Parts, and hashes that a part needs to count, for sets of about this size.
-
-    So many parts that more than ``differ`` of them should count: with two hashes if that can be, as
-    such parts rarely agree by chance, else with one.
-    """
-    for least in (2, 1):
-        parts = differ + 2
-        while parts < 4 * (differ + 2):
-            load = 0.92 * size / parts
-            slight = exp(-load) * (1 + load * (least == 2))
-            if parts * (1 - slight) - 2 * sqrt(parts * slight * (1 - slight)) >= differ + 1:
-                return parts, least
-            parts += max(1, parts // 64)
-    return 2 * (differ + 2), 1
 
+def prefix(hashes: np.ndarray, percent: int, frequent: np.ndarray | None = None) -> np.ndarray:
+    """The first shingles of a set in the order (frequent last, hash).
 
-def _parts(hashes: np.ndarray, parts: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Parts with ``least`` hashes or more, and the sums of their hashes."""
-    if not len(hashes):
-        return np.zeros(0, np.int64), hashes
-    at = (mix(hashes ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(at, kind="stable")
-    held, first, count = np.unique(at[order], return_index=True, return_counts=True)
-    return held[count >= least], np.add.reduceat(hashes[order], first)[count >= least]
+    Of two linked sets, the k-th common shingle lies in the prefixes of both while k is at most
+    ``beyond`` of the smaller set. A partner of a set of ``n`` has ``shared_least(n)`` shingles or
+    more, so a set shares ``required(n)`` shingles of its prefix with the prefixes of any partner.
+    ``frequent`` is any sorted choice of shingles, the same for all sets.
+    """
+    n = len(hashes)
+    size = int(n - shared_least(n, percent) + beyond(n))
+    if frequent is None or not len(frequent):
+        return hashes[:size]
+    pos = np.searchsorted(frequent, hashes)
+    pos[pos == len(frequent)] = 0
+    often = frequent[pos] == hashes
+    return np.concatenate([hashes[~often], hashes[often]])[:size]
 
 
-def _keys(held: np.ndarray, sums: np.ndarray, kind: int) -> np.ndarray:
-    return mix(sums + mix(held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(kind)))
+def required(n, percent: int):
+    return beyond(shared_least(n, percent))
 
 
 # ---- regions within a task ----------------------------------------------------------------------
@@ -210,12 +167,23 @@ def prefix_length(size: np.ndarray, percent: int) -> np.ndarray:
     return size - -(-size * percent // 100) + 1
 
 
+def voronoi(far: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
+    """For distances (text, pivot): which cells each text goes to, and whether to the cell beyond all pivots.
+
+    If one of two linked texts is within ``1 - 3 * radius`` of a pivot, both are within
+    ``1 - 2 * radius`` and meet in the first one's nearest cell; if neither is, they meet beyond.
+    """
+    least = far.min(1, keepdims=True)
+    cells = (far <= least + 2 * radius + 1e-9) & (least <= 1 - 2 * radius + 1e-9)
+    return cells, least[:, 0] > 1 - 3 * radius - 1e-9
+
+
 def metric_join(sets: list[np.ndarray], percent: int, seed: int = 7) -> list[tuple[int, int]]:
     """Links that connect whatever links of the sets connect (a spanning forest), exactly. No set may be empty."""
     forest = Forest(len(sets))
     size = np.array([len(s) for s in sets])
     radius = (100 - percent) / 100
-    todo = [np.arange(len(sets))]
+    todo = [(np.arange(len(sets)), "pivots")]
     rng = np.random.default_rng(seed)
 
     def compare(group: np.ndarray, some: np.ndarray) -> np.ndarray:
@@ -225,20 +193,25 @@ def metric_join(sets: list[np.ndarray], percent: int, seed: int = 7) -> list[tup
         return inter
 
     while todo:
-        group = todo.pop()
+        group, how = todo.pop()
         if len(group) < 2 or forest.one(group):
             continue
         if len(group) <= LEAF:
             compare(group, group)
             continue
-        pivots = rng.choice(group, PIVOTS, replace=False)
-        inter = compare(group, pivots)
-        if forest.one(group):
-            continue
-        far = 1 - inter / (size[group][:, None] + size[pivots][None, :] - inter)
-        near = far <= far.min(1, keepdims=True) + 2 * radius + 1e-9
-        if near.sum(0).max() <= 0.7 * len(group):
-            todo += [group[near[:, k]] for k in range(len(pivots))]
+        if how == "pivots":
+            pivots = rng.choice(group, PIVOTS, replace=False)
+            inter = compare(group, pivots)
+            if forest.one(group):
+                continue
+            far = 1 - inter / (size[group][:, None] + size[pivots][None, :] - inter)
+            cells, beyond_all = voronoi(far, radius)
+            near = np.flatnonzero(cells.any(1))
+            if cells.sum(0).max(initial=0) <= 0.7 * len(near):
+                todo += [(group[cells[:, k]], "pivots") for k in range(len(pivots))]
+            else:
+                todo.append((group[near], "rare"))
+            todo.append((group[beyond_all], "pivots" if beyond_all.sum() <= 0.7 * len(group) else "rare"))
             continue
         # pivots that part nothing: texts far from each other, which their rarest shingles can part
         shingle, of = rare_prefixes([sets[i] for i in group], percent)
@@ -252,7 +225,7 @@ def metric_join(sets: list[np.ndarray], percent: int, seed: int = 7) -> list[tup
         order = np.argsort(roots, kind="stable")
         cells = np.split(order, np.flatnonzero(np.diff(roots[order])) + 1)
         if max(map(len, cells)) <= 0.7 * len(group):
-            todo += [group[c] for c in cells]
+            todo += [(group[c], "pivots") for c in cells]
             continue
         for g in sorted(shared, key=len):  # texts that share a rare shingle, if not yet of one component
             own = group[g]
@@ -267,21 +240,29 @@ def metric_join(sets: list[np.ndarray], percent: int, seed: int = 7) -> list[tup
 # ---- the distributed join -----------------------------------------------------------------------
 
 
+def _halves(s: np.ndarray) -> tuple[int, int]:
+    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+
+def _node(s: np.ndarray, collided: frozenset[int]) -> int:
+    """The number of a set: half of its digest, the other half where different sets begin alike."""
+    a, b = _halves(s)
+    return b if a in collided else a
+
+
 def _sets(docs: DataFrame, k: int) -> DataFrame:
-    """Of every document: its id, set size and class, a digest of the set in two halves (the first is its node)."""
-    import hashlib
+    """Of every document: its id, set size and a digest of the set in two halves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_others("jaccard")
         for batch in batches:
             for at, texts in texts_of(batch, 1):
-                n, c1, c2 = [], [], []
+                n, c = [], []
                 for s in shingle_sets(texts, k):
-                    digest = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                     n.append(len(s))
-                    c1.append(int.from_bytes(digest[:8], "little", signed=True))
-                    c2.append(int.from_bytes(digest[8:], "little", signed=True))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), pa.array(c1, pa.int64()), pa.array(c2, pa.int64())], names=["doc_id", "n_shingles", "node", "c2"])
+                    c.append(_halves(s))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(n)), pa.array(n, pa.int64()), *(pa.array([x[i] for x in c], pa.int64()) for i in (0, 1))], names=["doc_id", "n_shingles", "node", "c2"])
 
     return docs.mapInArrow(run, "doc_id bigint, n_shingles bigint, node bigint, c2 bigint")
 
@@ -302,26 +283,23 @@ def _frequent(docs: DataFrame, classes: DataFrame, k: int) -> np.ndarray:
     return np.sort(best.toPandas()["shingle"].to_numpy(np.int64).view(np.uint64))
 
 
-def _candidate_links(docs: DataFrame, k: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """Links (a, b) between classes that share a part key, as stars; a key crosses the network once per task."""
-    import hashlib
+def _matches(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, collided: frozenset[int]) -> DataFrame:
+    """Prefix shingles of sets that another set's prefix has too: ``key, node``.
 
-    bounds = size_bounds(percent)
+    A task sends a shingle that several of its texts have once (kind 1); the other texts' rows
+    (kind 2), known to match already, are dealt by text, so that no shingle, however common, gathers.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT numbers at most
 
-    def pairs(key: list[np.ndarray], node: list[int]) -> Iterator[pa.RecordBatch]:
-        keys, nodes = np.concatenate(key), np.repeat(np.array(node, np.int64), [len(x) for x in key])
-        order = np.lexsort((nodes, keys))
+    def dealt(key: list[np.ndarray], node: list[int]) -> Iterator[pa.RecordBatch]:
+        keys, nodes = np.concatenate(key).view(np.int64), np.repeat(np.array(node, np.int64), [len(x) for x in key])
+        order = np.argsort(keys, kind="stable")
         keys, nodes = keys[order], nodes[order]
         new = np.concatenate([[True], keys[1:] != keys[:-1]])
-        lead = nodes[new][np.cumsum(new) - 1]
-        more = ~new & (lead != nodes)
-        links = np.unique(np.stack([lead[more], nodes[more]], 1), axis=0) if more.any() else np.zeros((0, 2), np.int64)
-        # a link made here travels as a key of its own that its two ends have
-        own = mix(mix(links[:, 0].view(np.uint64)) + links[:, 1].view(np.uint64)).view(np.int64)
-        for a, b in ((keys[new].view(np.int64), nodes[new]), (own, links[:, 0]), (own, links[:, 1])):
-            for at in range(0, len(a), 1 << 16):
-                yield pa.RecordBatch.from_arrays([pa.array(a[at : at + (1 << 16)]), pa.array(b[at : at + (1 << 16)])], names=["key", "node"])
+        alone = np.concatenate([new[1:], [True]])
+        kind = np.where(new, np.where(alone, 0, 1), 2).astype(np.int8)
+        for at in range(0, len(keys), 1 << 16):
+            yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (keys, nodes, kind)], names=["key", "node", "kind"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_others("jaccard")
@@ -329,40 +307,55 @@ def _candidate_links(docs: DataFrame, k: int, percent: int, frequent: np.ndarray
         for batch in batches:
             for _, texts in texts_of(batch, 1):
                 for s in shingle_sets(texts, k):
-                    if not len(s):
-                        continue
-                    me = int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8], "little", signed=True)
-                    if me in seen:
+                    if not len(s) or (me := _node(s, collided)) in seen:
                         continue
                     seen.add(me)
-                    got = part_keys(s, bounds, percent, shared.value)
-                    key.append(got)
+                    key.append(prefix(s, percent, shared.value))
                     node.append(me)
-                    held += len(got)
+                    held += len(key[-1])
                 if held >= KEYS_AT_ONCE:
-                    yield from pairs(key, node)
+                    yield from dealt(key, node)
                     key, node, held, seen = [], [], 0, set()
         if held:
-            yield from pairs(key, node)
+            yield from dealt(key, node)
+
+    def matched(key: np.ndarray, node: np.ndarray, kind: np.ndarray) -> pa.RecordBatch:
+        first = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])]))
+        key, node, kind = key[first], node[first], np.maximum.reduceat(kind, first)
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        keep = (kind > 0) | ~new | ~np.concatenate([new[1:], [True]])
+        return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows sorted by key: each node of a key's run links with the run's first."""
-        last = (None, None)
+        """Rows sorted by key and node; the last key of a batch waits for the next."""
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
         for batch in batches:
-            key, node = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            if not len(key):
-                continue
-            new = np.concatenate([[key[0] != last[0]], key[1:] != key[:-1]])
-            lead = node[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-            if not new[0]:
-                lead[np.cumsum(new) == 0] = last[1]
-            more = lead != node
-            last = (key[-1], lead[-1])
-            links = np.unique(np.stack([lead[more], node[more]], 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
-
-    rows = docs.mapInArrow(run, "key bigint, node bigint")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(scan, "a bigint, b bigint")
+            if batch.num_rows:
+                held = [np.concatenate([h, c.to_numpy()]) for h, c in zip(held, batch.columns, strict=True)]
+                end = int(np.searchsorted(held[0], held[0][-1]))
+                if end:
+                    yield matched(*(h[:end] for h in held))
+                    held = [h[end:] for h in held]
+        if len(held[0]):
+            yield matched(*held)
+
+    rows = docs.mapInArrow(run, "key bigint, node bigint, kind tinyint")
+    rows = rows.repartition(F.when(F.col("kind") == 2, F.col("node")).otherwise(F.col("key"))).sortWithinPartitions("key", "node")
+    return rows.mapInArrow(scan, "key bigint, node bigint")
+
+
+def _first_regions(matches: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``node, region`` of the sets that share enough of their prefixes with others."""
+    n = F.col("n_shingles")
+    least = F.ceil(n * percent / 100)
+    hits = matches.groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
+    alive = hits.join(classes, "node").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(least * EXTRA / 100))).select("node")
+    live = save(matches.join(alive, "node"), "jaccard-live")
+    lead = live.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
+    links = live.join(lead, "key").where("node <> lead").select("lead", "node").distinct()
+    comp = connected_components(links, "lead", "node")
+    drop(live)
+    return comp.select("node", F.col("component").cast("string").alias("region"))
 
 
 def _load(raw: list[bytes]) -> list[np.ndarray]:
@@ -380,43 +373,22 @@ def _join_small(rows: DataFrame, percent: int) -> DataFrame:
         release_others("jaccard")
         region, nodes, sets = None, [], []
         for batch in batches:
-            for r, n, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                if r != region and nodes:
-                    yield _links_batch(metric_join(_load(sets), percent), nodes)
-                    nodes, sets = [], []
-                region = r
-                nodes.append(n)
-                sets.append(s)
+            for at in range(0, batch.num_rows, 256):
+                for r, n, s in zip(*(c.slice(at, 256).to_pylist() for c in batch.columns), strict=True):
+                    if r != region and nodes:
+                        yield _links_batch(metric_join(_load(sets), percent), nodes)
+                        nodes, sets = [], []
+                    region = r
+                    nodes.append(n)
+                    sets.append(s)
         if nodes:
             yield _links_batch(metric_join(_load(sets), percent), nodes)
 
     return rows.select("region", "node", "set").repartition("region").sortWithinPartitions("region", "node").mapInArrow(run, "a bigint, b bigint")
 
 
-def _rare_step(rows: DataFrame, percent: int) -> DataFrame:
-    """Regions parted by the rarest shingles of their texts; texts that share none with another are left out."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = _load(part.column(2).to_pylist())
-                need = prefix_length(np.array([len(s) for s in sets]), percent)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(need), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["region", "node", "need", "shingles"])
-
-    each = rows.select("region", "node", "set").mapInArrow(run, "region string, node bigint, need bigint, shingles array<bigint>")
-    each = each.select("region", "node", "need", F.explode("shingles").alias("shingle"))
-    often = each.groupBy("region", "shingle").agg(F.count(F.lit(1)).alias("often"))
-    rank = F.row_number().over(Window.partitionBy("region", "node").orderBy("often", "shingle"))
-    kept = save(each.join(often, ["region", "shingle"]).withColumn("rank", rank).where("rank <= need and often > 1").select("region", "node", "shingle"), "rare")
-    lead = kept.groupBy("region", "shingle").agg(F.min("node").alias("lead"))
-    comp = connected_components(kept.join(lead, ["region", "shingle"]).where("node <> lead").select("node", "lead"), "node", "lead")
-    new = F.concat_ws("~", "region", F.col("component").cast("string"))
-    return save(rows.join(comp, "node").select(new.alias("region"), "node", "set"), "regions")
-
-
 def _pivot_step(rows: DataFrame, percent: int) -> DataFrame:
-    """One distributed Voronoi step: rows ``region, node, set, a, b`` (new regions, or links where a is given)."""
+    """One distributed Voronoi step: ``region, node, set, cells, links`` (pivots within the radius)."""
     # the pivots are the classes of least hash; they are found per salt first
     rank = F.xxhash64("region", "node")
     salted = rows.select("region", "node", rank.alias("rank"), F.pmod(F.xxhash64("node"), F.lit(SALTS * 16)).alias("salt"))
@@ -431,56 +403,127 @@ def _pivot_step(rows: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                out: list[tuple] = []
-                for region, node, raw, pivots in zip(*(batch.column(c).slice(at, 64).to_pylist() for c in ("region", "node", "set", "pivots")), strict=True):
+                part = batch.slice(at, 64)
+                cells, links = [], []
+                for region, node, raw, pivots in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     few = _load([p["set"] for p in pivots])
                     mine = np.frombuffer(raw, np.uint64)
                     inter = intersections([mine], few)[0]
                     size = np.array([len(p) for p in few])
-                    far = 1 - inter / (len(mine) + size - inter)
-                    for p in np.flatnonzero(linked(inter, np.full(len(few), len(mine)), size, percent)):
-                        if pivots[p]["node"] != node:
-                            out.append((None, None, None, node, pivots[p]["node"]))
-                    for p in np.flatnonzero(far <= far.min() + 2 * radius + 1e-9):
-                        out.append((f"{region}.{p}", node, raw, None, None))
-                yield pa.RecordBatch.from_pylist([dict(zip(("region", "node", "set", "a", "b"), o, strict=True)) for o in out], schema=schema)
+                    links.append([pivots[p]["node"] for p in np.flatnonzero(linked(inter, np.full(len(few), len(mine)), size, percent)) if pivots[p]["node"] != node])
+                    own, beyond_all = voronoi((1 - inter / (len(mine) + size - inter))[None, :], radius)
+                    cells.append([f"{region}.{p}" for p in np.flatnonzero(own[0])] + [f"{region}.r"] * bool(beyond_all[0]))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(cells, pa.list_(pa.string())), pa.array(links, pa.list_(pa.int64()))], names=["region", "node", "set", "cells", "links"])
+
+    return both.select("region", "node", "set", "pivots").mapInArrow(run, "region string, node bigint, set binary, cells array<string>, links array<bigint>")
+
+
+def _rare_step(rows: DataFrame, percent: int) -> DataFrame:
+    """Regions parted by the rarest shingles of their texts; texts that share none with another are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                sets = _load(part.column(2).to_pylist())
+                need = prefix_length(np.array([len(s) for s in sets]), percent)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(need), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["region", "place", "need", "shingles"])
+
+    rows = rows.withColumn("place", F.xxhash64("region", "node"))  # a text may be in several regions
+    each = rows.select("region", "place", "set").mapInArrow(run, "region string, place bigint, need bigint, shingles array<bigint>")
+    each = each.select("region", "place", "need", F.explode("shingles").alias("shingle"))
+    often = each.groupBy("region", "shingle").agg(F.count(F.lit(1)).alias("often"))
+    rank = F.row_number().over(Window.partitionBy("region", "place").orderBy("often", "shingle"))
+    kept = save(each.join(often, ["region", "shingle"]).withColumn("rank", rank).where("rank <= need and often > 1").select("region", "place", "shingle"), "rare")
+    lead = kept.groupBy("region", "shingle").agg(F.min("place").alias("lead"))
+    comp = connected_components(kept.join(lead, ["region", "shingle"]).where("place <> lead").select("place", "lead"), "place", "lead")
+    new = F.concat_ws("~", "region", F.col("component").cast("string"))
+    out = save(rows.join(comp.withColumnRenamed("node", "place"), "place").select(new.alias("region"), "node", "set"), "regions")
+    drop(kept)
+    drop(comp)
+    return out
+
+
+def _large(rows: DataFrame) -> DataFrame:
+    """Bytes and texts of the regions that no task may hold."""
+    sizes = rows.groupBy("region").agg(F.sum(F.length("set")).alias("bytes"), F.count(F.lit(1)).alias("texts"))
+    return save(sizes.where((F.col("bytes") > REGION_BYTES) | (F.col("texts") > REGION_TEXTS)), "region-sizes")
+
 
-    schema = pa.schema([("region", pa.string()), ("node", pa.int64()), ("set", pa.binary()), ("a", pa.int64()), ("b", pa.int64())])
-    return both.select("region", "node", "set", "pivots").mapInArrow(run, "region string, node bigint, set binary, a bigint, b bigint")
+def _blocks(bytes_: Column, texts: Column, parts: int) -> Column:
+    return F.greatest(F.ceil(bytes_ * parts / REGION_BYTES), F.ceil(texts * parts / REGION_TEXTS)).cast("int")
 
 
 def _join_blocks(rows: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """Links within regions of any size: every block of a region meets every other in a task of bounded size."""
-    blocks = sizes.select("region", F.ceil(F.col("bytes") / (REGION_BYTES // 4)).cast("int").alias("blocks"))
+    blocks = sizes.select("region", _blocks(F.col("bytes"), F.col("texts"), 4).alias("blocks"))
     rows = rows.join(blocks, "region").withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     name = F.concat_ws("/", "region", F.least("mine", "other"), F.greatest("mine", "other"))
     return _join_small(rows.select(name.alias("region"), "node", "set"), percent)
 
 
+def _judged(cut: DataFrame, comp: DataFrame) -> DataFrame:
+    """Rows of a Voronoi step whose region is not yet one component, with what is to become of them.
+
+    Where few texts are outside the region's main component (``strays``), only these have to meet the
+    rest, in ``blocks``; else texts go on to their cells, unless these hardly part them (``stuck``).
+    """
+    marked = cut.select("region", "node", F.length("set").alias("bytes"), F.size("cells").alias("cells")).join(comp, "node", "left")
+    marked = marked.withColumn("part", F.coalesce("component", "node"))
+    parts = marked.groupBy("region", "part").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("texts"), F.sum("cells").alias("cells"))
+    top = F.struct("texts", "part")
+    regions = parts.groupBy("region").agg(F.max_by("part", top).alias("main"), F.sum("bytes").alias("all_bytes"), F.sum("texts").alias("all_texts"), (F.sum("bytes") - F.max_by("bytes", top)).alias("bytes"), (F.sum("texts") - F.max("texts")).alias("texts"), F.sum("cells").alias("cells")).where("texts > 0")
+    few = (F.col("bytes") <= REGION_BYTES // 4) & (F.col("texts") <= REGION_TEXTS // 4)
+    fate = F.when(few, "strays").when(F.col("cells") > SPREAD * F.col("all_texts"), "stuck").otherwise("cells")
+    regions = regions.select("region", "main", fate.alias("fate"), _blocks(F.col("all_bytes"), F.col("all_texts"), 2).alias("blocks"))
+    return cut.join(marked.select("region", "node", "part"), ["region", "node"]).join(regions, "region").withColumn("stray", F.col("part") != F.col("main"))
+
+
 def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
-    """Links of all regions: small ones in their tasks, large ones split by pivots first."""
+    """Components of the links of all regions: small ones joined in their tasks, large ones split by pivots first."""
     found: list[DataFrame] = []
-    for step in range(-1, SPLIT_ROUNDS + 1):
-        sizes = save(rows.groupBy("region").agg(F.sum(F.length("set")).alias("bytes")), "region-sizes")
-        large = sizes.where(F.col("bytes") > REGION_BYTES)
+    stuck: list[DataFrame] = []
+    made: list[DataFrame] = []
+
+    def kept(df: DataFrame, label: str) -> DataFrame:
+        made.append(save(df, label))
+        return made[-1]
+
+    def link(df: DataFrame) -> None:
+        found.append(kept(df, "region-links"))
+
+    for _ in range(SPLIT_ROUNDS):
+        large = _large(rows)
         if large.isEmpty():
-            return _union([*found, save(_join_small(rows, percent), "region-links")])
-        found.append(save(_join_small(rows.join(large, "region", "left_anti"), percent), "region-links"))
-        rest = rows.join(large.select("region"), "region", "left_semi")
-        if step == SPLIT_ROUNDS:
             break
-        if step < 0:  # a text is in one region still
-            rows = _rare_step(rest, percent)
-            continue
-        cut = save(_pivot_step(rest, percent), "region-step")
-        found.append(save(cut.where("a is not null").select("a", "b"), "region-links"))
+        link(_join_small(rows.join(large, "region", "left_anti"), percent))
+        cut = save(_pivot_step(rows.join(large.select("region"), "region", "left_semi"), percent), "region-step")
+        link(cut.select(F.col("node").alias("a"), F.explode("links").alias("b")))
         comp = connected_components(_union(found))
-        new = cut.where("a is null").select("region", "node", "set")
-        known = new.select("region", "node").join(comp, "node", "left").groupBy("region").agg(F.min(F.coalesce("component", "node")).alias("lo"), F.max(F.coalesce("component", "node")).alias("hi"))
-        rows = save(new.join(known.where("lo <> hi").select("region"), "region", "left_semi"), "regions")
+        left = kept(_judged(cut, comp), "region-judged")
         drop(cut)
-    return _union([*found, save(_join_blocks(rest, large, percent), "region-links")])
+        drop(comp)
+        mine = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+        meet = left.where("fate = 'strays'").withColumn("block", F.explode(mine)).select(F.concat_ws("/", "region", "block").alias("region"), "node", "set")
+        link(_join_small(meet, percent))
+        stuck.append(left.where("fate = 'stuck'").select("region", "node", "set"))
+        rows = kept(left.where("fate = 'cells'").select(F.explode("cells").alias("region"), "node", "set"), "regions")
+    else:
+        stuck.append(rows)
+        rows = rows.limit(0)
+    link(_join_small(rows, percent))
+    if stuck and not (rest := _union(stuck)).isEmpty():
+        rest = _rare_step(rest, percent)
+        made.append(rest)
+        large = _large(rest)
+        link(_join_small(rest.join(large, "region", "left_anti"), percent))
+        if not large.isEmpty():
+            link(_join_blocks(rest.join(large.select("region"), "region", "left_semi"), large, percent))
+    comp = connected_components(_union(found))
+    for df in made:
+        drop(df)
+    return comp
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -490,6 +533,15 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _collided(sets: DataFrame) -> frozenset[int]:
+    """First halves of digests that different sets share: a few in a corpus of any real size."""
+    same = sets.where("n_shingles > 0").groupBy("node").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi").select("node")
+    out = frozenset(r.node for r in same.limit(COLLIDED + 1).collect())
+    if len(out) > COLLIDED:
+        raise RuntimeError(f"over {COLLIDED} digests of different sets begin alike")
+    return out
+
+
 def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_shingles, component_id``.
 
@@ -503,28 +555,33 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
         raise ValueError("percent must be between 50 and 100")
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     sets = save(_sets(docs, words), "shingle-classes")
-    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
+    collided = _collided(sets)
+    node = F.when(F.col("node").isin(list(collided)), F.col("c2")).otherwise(F.col("node")) if collided else F.col("node")
+    sets = sets.select("doc_id", "n_shingles", node.alias("node"))
+    classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
     known = docs.where("doc_id is not null and text is not null")
-    near = save(_candidate_links(known, words, percent, _frequent(known, classes, words)).distinct(), "shingle-candidates")
-    region = save(connected_components(near).select("node", F.col("component").cast("string").alias("region")), "shingle-regions")
-    drop(near)
-    wanted = save(region.join(classes, "node"), "shingle-wanted")
+    matches = save(_matches(known, words, percent, _frequent(known, classes, words), collided), "jaccard-matches")
+    region = _first_regions(matches, classes, percent)
+    wanted = save(region.join(classes, "node").select(F.col("rep").alias("doc_id"), "region", "node"), "jaccard-wanted")
+    drop(matches)
+    drop(region)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
         for batch in batches:
             for at, texts in texts_of(batch, 1):
                 rows = []
                 for r, n, s in zip(batch.column(2).slice(at, len(texts)).to_pylist(), batch.column(3).slice(at, len(texts)).to_pylist(), shingle_sets(texts, words), strict=True):
-                    raw = s.tobytes()
-                    if int.from_bytes(hashlib.blake2b(raw, digest_size=16).digest()[:8], "little", signed=True) == n:
-                        rows.append((r, n, raw))
+                    if _node(s, collided) == n:
+                        rows.append((r, n, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["region", "node", "set"])
 
-    texts = known.join(wanted.select(F.col("rep").alias("doc_id"), "region", "node").hint("merge"), "doc_id").select("doc_id", "text", "region", "node")
+    # few texts as a rule: their ids are sent to the table where they are few, else both are dealt by id
+    few = wanted.count() <= SENT_IDS
+    texts = known.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("doc_id", "text", "region", "node")
     rows = save(texts.mapInArrow(collect, "region string, node bigint, set binary").dropDuplicates(["region", "node"]), "regions")
-    comp = connected_components(_join_regions(rows, percent))
+    drop(wanted)
+    comp = _join_regions(rows, percent)
+    drop(rows)
     least = classes.join(comp, "node").groupBy("component").agg(F.min("rep").alias("least"))
     final = classes.join(comp, "node", "left").join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
     keyed = sets.withColumn("node", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("node")))
