@@ -15,6 +15,8 @@ import pyarrow as pa
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 4
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 9, 10, 11, 12, 13]] = True
+_SIGN = _GAP.copy()  # ASCII that is neither letter nor digit
+_SIGN[[c for c in range(128) if not chr(c).isalnum()]] = True
 #: Bytes of text that are hashed at once; a longer text is hashed alone.
 BUFFER = 1 << 20
 
@@ -50,7 +52,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
 def running_hash(data: np.ndarray) -> np.ndarray:
     """Sums such that ``(s[j] - s[i]) * inverse_power[i]`` is the hash of ``data[i:j]``."""
     out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_TABLE[data] * powers(len(data)), out=out[1:])
+    np.cumsum((_TABLE[data] if data.dtype == np.uint8 else data) * powers(len(data)), out=out[1:])
     return out
 
 
@@ -80,6 +82,27 @@ def word_hashes(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(text_end, start, "right")
 
 
+def trimmed_words(run: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Hash, position of the text, first and end byte (in the texts laid end to end, one byte apart) of each word.
+
+    Words stand between ASCII white space, here without the ASCII signs around them and in their own
+    case; a word of signs only is left as it is.
+    """
+    data = np.frombuffer(b" ".join(run) + b" ", np.uint8)
+    edge = np.flatnonzero(np.diff(_GAP[data], prepend=True))
+    start, end = edge[0::2], edge[1::2]
+    solid = np.flatnonzero(~_SIGN[data])
+    if len(solid):
+        first = np.searchsorted(solid, start)
+        a, b = solid[np.minimum(first, len(solid) - 1)], solid[np.searchsorted(solid, end) - 1] + 1
+        some = (first < len(solid)) & (a < end)
+        start, end = np.where(some, a, start), np.where(some, b, end)
+    sums = running_hash(data)
+    words = mix((sums[end] - sums[start]) * powers(len(data), True)[start] + (end - start).astype(np.uint64))
+    text_end = np.cumsum([len(r) + 1 for r in run])
+    return words, np.searchsorted(text_end, start, "right"), start, end
+
+
 def combine(words: np.ndarray, k: int) -> np.ndarray:
     """Hash of each run of ``k`` words."""
     n = len(words) - k + 1
