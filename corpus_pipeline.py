@@ -11,22 +11,15 @@ merged.
 
 from __future__ import annotations
 
-import hashlib
-import re
-from collections.abc import Iterator
-
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from waymark.llm import decontaminate, jaccard_join, packing, suffix_dedup, toxicity
-from waymark.llm.shingles import release_others, texts_of
 from waymark.plans.storage import drop, save
 
 TOXIC_SCORE = 0.7
 SHINGLE_WORDS, NEAR_PERCENT = 5, 80
-REPEAT_BYTES, REPEAT_WORDS = 400, 51
+REPEAT_WORDS = 51
 SEQUENCE_TOKENS = 4096
 
 
@@ -45,114 +38,19 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 
-def _id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-(2**63)))
-
-
-class _Codes(dict):
-    """A code of CODE ASCII bytes for each word, 42 bits of its hash; only the first byte is 64 or more, so codes match in step only."""
-
-    def __missing__(self, word: str) -> str:
-        if len(self) >= 50_000:
-            self.clear()
-        h = hashlib.blake2b(_bare(word).encode("utf-8", "surrogatepass"), digest_size=CODE).digest().translate(_SIX_BITS).decode("ascii")
-        self[word] = code = chr(64 + ord(h[0])) + h[1:]
-        return code
-
-
-CODE = 7
-_SIX_BITS = bytes(k % 64 for k in range(256))
-_EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-
-
-def _bare(word: str) -> str:
-    """The word without the signs around it; a word of signs only is left as it is."""
-    return word if word.isalnum() else _EDGE.sub("", word) or word
-
-
-def _word_spans(text: str, runs: list[dict]) -> list[tuple[int, int]]:
-    """Byte spans of the passages whose codes start at these runs of places, without the signs around them."""
-    words = [m.span() for m in re.finditer(r"\S+", text)]
-    out, at, done = [], 0, 0
-    for r in runs:
-        first, last = -(-r["a"] // CODE), r["b"] // CODE + REPEAT_WORDS - 1
-        if first > r["b"] // CODE:  # matches are of whole words
-            continue
-        (x, y), (z, end) = words[first], words[last]
-        x += text[x:y].find(_bare(text[x:y]))
-        end = z + text[z:end].find(_bare(text[z:end])) + len(_bare(text[z:end]))
-        if out and x < done:
-            out[-1] = (out[-1][0], at := at + len(text[done:end].encode("utf-8", "surrogatepass")))
-        else:
-            a = at + len(text[done:x].encode("utf-8", "surrogatepass"))
-            out.append((a, at := a + len(text[x:end].encode("utf-8", "surrogatepass"))))
-        done = end
-    return out
-
-
-def _coded(docs: DataFrame) -> DataFrame:
-    """Id and hash of each text, with the codes of its words end to end, their hash and length."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_others("suffix")
-        codes = _Codes()
-        for b in batches:
-            for at, texts in texts_of(b, 2):
-                coded = ["".join([codes[w] for w in (t or "").split()]) for t in texts]
-                yield pa.RecordBatch.from_arrays([*(c.slice(at, len(texts)) for c in b.columns[:2]), pa.array(coded, pa.string())], names=["doc", "hash", "text"])
-
-    out = docs.select(_id().alias("doc"), F.xxhash64("text").alias("hash"), "text").mapInArrow(run, "doc bigint, hash bigint, text string")
-    return out.withColumns({"t": F.xxhash64("text"), "nb": F.octet_length("text")})
-
-
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of passages of 51 words and more, or of 400 bytes and more; texts that vanish by it go.
+    """Texts without the later copies of passages of 51 words and more; texts of which no word stays go.
 
-    Words are what stands between white space, compared without the signs around them. Both kinds of
-    passages are found in the whole texts and cut together.
+    Words stand between ASCII white space and are compared without the ASCII signs around them.
     """
-    names, at = docs.columns, docs.columns.index("text")
-    length = CODE * REPEAT_WORDS
-    cut = suffix_dedup.dedup_substrings(docs, REPEAT_BYTES, "first").select(*names, F.col("spans").alias("byte_spans"))
-    coded = save(_coded(docs), "codes")
-    found = suffix_dedup.find_repeats(coded.select("doc", "text", "t", "nb"), length, True)
-    whole = F.array(F.struct(F.lit(0).alias("a"), (F.col("nb") - length).alias("b")))
-    runs = F.when(F.col("owner") != F.col("doc"), whole).otherwise(F.col("runs")).alias("runs")
-    by_words = save(coded.select("doc", "hash", "t", "nb").join(found, ["t", "nb"]).select("doc", "hash", runs).where("runs is not null").dropDuplicates(["doc", "hash"]), "word-repeats")
-    drop(coded)
-    rows = cut.withColumns({"doc": _id(), "hash": F.xxhash64("text")}).join(by_words, ["doc", "hash"], "left").select(*names, "byte_spans", "runs")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, touched = [], []
-            for t, spans, runs in zip(*(b.column(k).to_pylist() for k in (at, len(names), len(names) + 1)), strict=True):
-                both = sorted([*((s["a"], s["b"]) for s in spans), *(_word_spans(t, runs) if runs else ())])
-                texts.append(_without(t, [{"a": x, "b": y} for x, y in both]) if both else t)
-                touched.append(bool(both))
-            cols = list(b.columns[: len(names)])
-            cols[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(touched)], names=[*names, "touched"])
-
-    new = rows.mapInArrow(apply, T.StructType([*docs.schema.fields, T.StructField("touched", T.BooleanType())]))
-    new = new.where("not touched or text <> ''")
-    if "n_chars" in names:
+    cut = suffix_dedup.dedup_substrings(docs, REPEAT_WORDS, "first", unit="words")
+    touched = F.size("spans") > 0
+    left = F.when(touched, F.col("kept").cast("string")).otherwise(F.col("text"))
+    new = cut.select(*(left.alias("text") if c == "text" else F.col(c) for c in docs.columns), touched.alias("touched"))
+    new = new.where(~F.col("touched") | F.col("text").rlike(r"[^\x00-/:-@\[-`{-\x7f]"))
+    if "n_chars" in docs.columns:
         new = new.withColumn("n_chars", F.when(F.col("touched"), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return new.select(*names)
-
-
-def _without(text: str, spans: list[dict]) -> str:
-    """The text without these byte spans, each first narrowed to whole characters."""
-    raw, out, at = text.encode("utf-8"), [], 0
-    for s in spans:
-        a, b = s["a"], s["b"]
-        while a < b and raw[a] & 0xC0 == 0x80:
-            a += 1
-        while b > a and b < len(raw) and raw[b] & 0xC0 == 0x80:
-            b -= 1
-        out.append(raw[at:max(at, a)])
-        at = max(at, b)
-    out.append(raw[at:])
-    return b"".join(out).decode("utf-8")
+    return new.select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -182,8 +80,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = save(docs, f"stage-{k}")
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        new = save(stage(spark, docs, sf_dir), f"stage-{k}")
+        drop(docs)  # the table of the stage before; `documents` itself is left alone
+        docs = new
+    return STAGES[-1][1](spark, docs, sf_dir)
