@@ -113,10 +113,10 @@ def near_copies():
     return docs
 
 
-@pytest.mark.parametrize("texts, rounds", [(10_000, 4), (20, 1), (20, 4), (20, 0)])
-def test_regions_of_any_size(spark, monkeypatch, texts, rounds):
+@pytest.mark.parametrize("texts, steps", [(20, ("pivots",)), (20, jaccard_join.STEPS), (20, ("rare",)), (20, ())])
+def test_regions_of_any_size(spark, monkeypatch, texts, steps):
     monkeypatch.setattr(jaccard_join, "REGION_TEXTS", texts)
-    monkeypatch.setattr(jaccard_join, "SPLIT_ROUNDS", rounds)
+    monkeypatch.setattr(jaccard_join, "STEPS", steps)
     docs = near_copies()
     df = spark.createDataFrame(docs, "doc_id bigint, text string").selectExpr("*", "1 as node", "'r' as region")
     assert got(jaccard_components(df)) == brute(docs, 85)

@@ -40,11 +40,13 @@ from waymark.plans.storage import drop, save
 REGION_BYTES, REGION_TEXTS = 24 << 20, 512
 #: Texts compared directly, pivots of a step, and keys a task holds before it passes them on.
 LEAF, PIVOTS, KEYS_AT_ONCE = 48, 16, 1 << 20
-SALTS, SPLIT_ROUNDS = 16, 4
+SALTS = 16
+#: What splits large regions, one after the other; what is large still is compared block against block.
+STEPS = ("pivots", "rare", "pivots", "pivots")
 #: Cells that the texts of a region may go to on average; regions where pivots part less are split otherwise.
 SPREAD = 4
 #: Of a hundred shingles, those that a prefix holds beyond the fewest that could do, and so many it must share.
-EXTRA = 8
+EXTRA = 16
 #: Texts sampled for frequent shingles, and frequent shingles kept, at most.
 SAMPLE, FREQUENT = 8_192, 500_000
 #: Different sets whose digests begin alike that are told apart, at most (at 25 billion sets, about 17).
@@ -344,18 +346,29 @@ def _matches(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, collid
     return rows.mapInArrow(scan, "key bigint, node bigint")
 
 
-def _first_regions(matches: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """``node, region`` of the sets that share enough of their prefixes with others."""
-    n = F.col("n_shingles")
-    least = F.ceil(n * percent / 100)
-    hits = matches.groupBy("node").agg(F.count(F.lit(1)).alias("hits"))
-    alive = hits.join(classes, "node").where(F.col("hits") >= F.greatest(F.lit(1), F.floor(least * EXTRA / 100))).select("node")
-    live = save(matches.join(alive, "node"), "jaccard-live")
-    lead = live.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
-    links = live.join(lead, "key").where("node <> lead").select("lead", "node").distinct()
+def _first_regions(matches: DataFrame, classes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """``node, region`` of the sets that share enough of their prefixes with others, and the table behind it.
+
+    Of the prefix shingles that a set has in common with others, ``required`` are common to it and any
+    one partner. The rarest of them, in order of how many sets have them, are enough to find that
+    partner when all but ``required - 1`` are looked at, so common passages join no regions.
+    """
+    least = F.ceil(F.col("n_shingles") * percent / 100)
+    need = F.greatest(F.lit(1), F.floor(least * EXTRA / 100)).cast("int")
+    sizes = classes.select("node", need.alias("need"))
+    own = Window.partitionBy("node")
+    rows = matches.repartition("node").dropDuplicates(["node", "key"]).withColumn("hits", F.count(F.lit(1)).over(own))
+    live = save(rows.join(sizes, "node").where("hits >= need").select("key", "node", "need"), "jaccard-live")
+    often = live.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    rows = live.join(often, "key").repartition("node")
+    rows = rows.withColumns({"hits": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("often", "key"))})
+    rare = save(rows.where("hits >= need and rank <= hits - need + 1").select("key", "node"), "jaccard-rare")
+    lead = rare.groupBy("key").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last").select("key", "lead")
+    links = rare.join(lead, "key").where("node <> lead").select("lead", "node").distinct()
     comp = connected_components(links, "lead", "node")
     drop(live)
-    return comp.select("node", F.col("component").cast("string").alias("region"))
+    drop(rare)
+    return comp.select("node", F.col("component").cast("string").alias("region")), comp
 
 
 def _load(raw: list[bytes]) -> list[np.ndarray]:
@@ -395,27 +408,41 @@ def _pivot_step(rows: DataFrame, percent: int) -> DataFrame:
     top = Window.partitionBy("region", "salt").orderBy("rank", "node")
     some = salted.withColumn("at", F.row_number().over(top)).where(F.col("at") <= PIVOTS)
     pick = some.withColumn("at", F.row_number().over(Window.partitionBy("region").orderBy("rank", "node"))).where(F.col("at") <= PIVOTS).select("region", "node")
-    pivots = rows.join(pick, ["region", "node"]).groupBy("region").agg(F.sort_array(F.collect_list(F.struct("node", "set"))).alias("pivots"))
-    pivots = pivots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    both = rows.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(pivots, ["region", "salt"])
+    pivots = rows.join(pick, ["region", "node"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    texts = rows.select("region", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("text"), "node", "set")
+    both = pivots.select("region", "salt", F.lit(0).alias("text"), "node", "set").unionByName(texts)
     radius = (100 - percent) / 100
 
+    def judged(region: str, pivots: list[tuple[int, bytes]], some: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        sets, few = _load([s for _, s in some]), _load([s for _, s in pivots])
+        inter = intersections(sets, few)
+        a, b = np.array([len(s) for s in sets])[:, None], np.array([len(s) for s in few])[None, :]
+        near = linked(inter, a, b, percent)
+        own, beyond_all = voronoi(1 - inter / (a + b - inter), radius)
+        links = [[pivots[p][0] for p in np.flatnonzero(row) if pivots[p][0] != node] for row, (node, _) in zip(near, some, strict=True)]
+        cells = [[f"{region}.{p}" for p in np.flatnonzero(row)] + [f"{region}.r"] * bool(r) for row, r in zip(own, beyond_all, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array([region] * len(some)), pa.array([n for n, _ in some], pa.int64()), pa.array([s for _, s in some], pa.binary()), pa.array(cells, pa.list_(pa.string())), pa.array(links, pa.list_(pa.int64()))], names=["region", "node", "set", "cells", "links"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows in order of region and salt, pivots before texts."""
+        release_others("jaccard")
+        key, pivots, some = None, [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                cells, links = [], []
-                for region, node, raw, pivots in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    few = _load([p["set"] for p in pivots])
-                    mine = np.frombuffer(raw, np.uint64)
-                    inter = intersections([mine], few)[0]
-                    size = np.array([len(p) for p in few])
-                    links.append([pivots[p]["node"] for p in np.flatnonzero(linked(inter, np.full(len(few), len(mine)), size, percent)) if pivots[p]["node"] != node])
-                    own, beyond_all = voronoi((1 - inter / (len(mine) + size - inter))[None, :], radius)
-                    cells.append([f"{region}.{p}" for p in np.flatnonzero(own[0])] + [f"{region}.r"] * bool(beyond_all[0]))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(cells, pa.list_(pa.string())), pa.array(links, pa.list_(pa.int64()))], names=["region", "node", "set", "cells", "links"])
-
-    return both.select("region", "node", "set", "pivots").mapInArrow(run, "region string, node bigint, set binary, cells array<string>, links array<bigint>")
+                for region, salt, text, node, raw in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns), strict=True):
+                    if key != (region, salt):
+                        if some:
+                            yield judged(key[0], pivots, some)
+                        key, pivots, some = (region, salt), [], []
+                    (some if text else pivots).append((node, raw))
+                    if len(some) == 64:
+                        yield judged(region, pivots, some)
+                        some = []
+        if some:
+            yield judged(key[0], pivots, some)
+
+    both = both.repartition("region", "salt").sortWithinPartitions("region", "salt", "text", "node")
+    return both.mapInArrow(run, "region string, node bigint, set binary, cells array<string>, links array<bigint>")
 
 
 def _rare_step(rows: DataFrame, percent: int) -> DataFrame:
@@ -447,7 +474,7 @@ def _rare_step(rows: DataFrame, percent: int) -> DataFrame:
 def _large(rows: DataFrame) -> DataFrame:
     """Bytes and texts of the regions that no task may hold."""
     sizes = rows.groupBy("region").agg(F.sum(F.length("set")).alias("bytes"), F.count(F.lit(1)).alias("texts"))
-    return save(sizes.where((F.col("bytes") > REGION_BYTES) | (F.col("texts") > REGION_TEXTS)), "region-sizes")
+    return sizes.where((F.col("bytes") > REGION_BYTES) | (F.col("texts") > REGION_TEXTS))
 
 
 def _blocks(bytes_: Column, texts: Column, parts: int) -> Column:
@@ -483,7 +510,6 @@ def _judged(cut: DataFrame, comp: DataFrame) -> DataFrame:
 def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     """Components of the links of all regions: small ones joined in their tasks, large ones split by pivots first."""
     found: list[DataFrame] = []
-    stuck: list[DataFrame] = []
     made: list[DataFrame] = []
 
     def kept(df: DataFrame, label: str) -> DataFrame:
@@ -493,12 +519,17 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
     def link(df: DataFrame) -> None:
         found.append(kept(df, "region-links"))
 
-    for _ in range(SPLIT_ROUNDS):
-        large = _large(rows)
+    for step in STEPS:
+        large = kept(_large(rows), "region-sizes")
         if large.isEmpty():
             break
         link(_join_small(rows.join(large, "region", "left_anti"), percent))
-        cut = save(_pivot_step(rows.join(large.select("region"), "region", "left_semi"), percent), "region-step")
+        rest = rows.join(large.select("region"), "region", "left_semi")
+        if step == "rare":
+            rows = _rare_step(rest, percent)
+            made.append(rows)
+            continue
+        cut = save(_pivot_step(rest, percent), "region-step")
         link(cut.select(F.col("node").alias("a"), F.explode("links").alias("b")))
         comp = connected_components(_union(found))
         left = kept(_judged(cut, comp), "region-judged")
@@ -507,19 +538,12 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
         mine = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
         meet = left.where("fate = 'strays'").withColumn("block", F.explode(mine)).select(F.concat_ws("/", "region", "block").alias("region"), "node", "set")
         link(_join_small(meet, percent))
-        stuck.append(left.where("fate = 'stuck'").select("region", "node", "set"))
-        rows = kept(left.where("fate = 'cells'").select(F.explode("cells").alias("region"), "node", "set"), "regions")
-    else:
-        stuck.append(rows)
-        rows = rows.limit(0)
-    link(_join_small(rows, percent))
-    if stuck and not (rest := _union(stuck)).isEmpty():
-        rest = _rare_step(rest, percent)
-        made.append(rest)
-        large = _large(rest)
-        link(_join_small(rest.join(large, "region", "left_anti"), percent))
-        if not large.isEmpty():
-            link(_join_blocks(rest.join(large.select("region"), "region", "left_semi"), large, percent))
+        on = F.when(F.col("fate") == "cells", F.col("cells")).otherwise(F.array("region"))
+        rows = kept(left.where("fate <> 'strays'").select(F.explode(on).alias("region"), "node", "set"), "regions")
+    large = kept(_large(rows), "region-sizes")
+    link(_join_small(rows.join(large, "region", "left_anti"), percent))
+    if not large.isEmpty():
+        link(_join_blocks(rows.join(large.select("region"), "region", "left_semi"), large, percent))
     comp = connected_components(_union(found))
     for df in made:
         drop(df)
@@ -561,10 +585,10 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     classes = sets.where("n_shingles > 0 and doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"))
     known = docs.where("doc_id is not null and text is not null")
     matches = save(_matches(known, words, percent, _frequent(known, classes, words), collided), "jaccard-matches")
-    region = _first_regions(matches, classes, percent)
+    region, table = _first_regions(matches, classes, percent)
     wanted = save(region.join(classes, "node").select(F.col("rep").alias("doc_id"), "region", "node"), "jaccard-wanted")
     drop(matches)
-    drop(region)
+    drop(table)
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
