@@ -5,12 +5,13 @@ that occurs in other documents, times ``ALPHA`` for each order given up; a word
 document counts as one half occurrence. A document's own occurrences never count, else no n-gram
 would be unseen.
 
-Count tables are partitioned by the n-gram's hash. Documents are dealt to blocks of bounded text;
+Count tables are partitioned by the n-gram's hash. Documents are gathered into blocks of bounded text;
 each block explodes its n-grams of all orders, sends the distinct ones with their counts to the
 partitions of the count table, and is joined with the corpus totals that come back, in the order in
 which it sent the n-grams. Longer n-grams are asked for in later rounds, and only where both their
 parts were found in other documents. The sums per document are then taken inside the block. An n-gram crosses
 the network once per block that has it, however frequent it is, and no table is ever broadcast.
+Blocks follow the input, so that no key, however often its rows repeat, gathers in one.
 """
 
 from __future__ import annotations
@@ -20,16 +21,15 @@ from math import ceil
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shingles import buffers, combine, texts_of, word_hashes
+from waymark.llm.shingles import buffers, combine, count_words, texts_of, word_hashes
 
 ALPHA = 0.4
-#: Bits of an n-gram's hash. Of ten trillion different n-grams about one in ten thousand shares its hash.
-HASH_BITS = 56
-#: Text of a block, on average; blocks hold several times this in hashes.
-BLOCK_BYTES = 3 << 20
+#: Text of a block; blocks hold several times this in hashes. N-grams are told apart by 64 bits.
+BLOCK_BYTES = 8 << 20
 
 
 def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
@@ -44,31 +44,45 @@ def grams(texts: list[str | None], order: int) -> tuple[np.ndarray, list[np.ndar
     for k in range(1, order + 1):
         h = np.zeros(len(words), np.uint64)
         if len(words) >= k:
-            got = combine(words, k) >> np.uint64(64 - HASH_BITS)
+            got = combine(words, k)
             got[got == 0] = 1
             h[k - 1 :] = np.where(of[k - 1 :] == of[: len(of) - k + 1], got, 0)
         out.append(h)
     return of, out, np.bincount(of, minlength=len(texts))
 
 
-def table(hashes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of a block in order of hash, and their counts."""
-    flat = np.concatenate(hashes)
-    return np.unique(flat[flat != 0], return_counts=True)
-
-
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
     """Partition of the count table; it rises with the hash."""
-    return ((h >> np.uint64(HASH_BITS - 32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def squeeze(values: np.ndarray) -> bytes:
-    """Whole numbers with their bytes in planes, so that leading zeros compress away."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+    """Whole numbers, compressed with their bytes in planes."""
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    return len(values).to_bytes(8, "little") + _ZSTD.compress(planes, asbytes=True)
 
 
 def unsqueeze(raw: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    n = int.from_bytes(raw[:8], "little")
+    planes = np.frombuffer(_ZSTD.decompress(raw[8:], 8 * n, asbytes=True), np.uint8)
+    return np.ascontiguousarray(planes.reshape(8, n).T).view("<u8").ravel()
+
+
+_ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def bundle(ids: list[int | None], texts: list[str | None]) -> bytes:
+    """Documents of a block, compressed."""
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(texts, pa.large_string())], names=["doc_id", "text"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def unbundle(raw: bytes) -> tuple[list[int | None], list[str | None]]:
+    got = pa.ipc.open_stream(raw).read_all()
+    return got.column(0).to_pylist(), got.column(1).to_pylist()
 
 
 def rounds_of(order: int) -> list[list[int]]:
@@ -85,30 +99,42 @@ class Block:
         self.rest: list[np.ndarray] = []  # for each order and word: occurrences of its n-gram in other documents
 
     def ask(self, orders: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams of these orders that other documents may have, and their counts in the block.
+        """Distinct n-grams of these orders that other documents may have, rising, and their counts in the block.
 
         An n-gram of three words or more found elsewhere has both its parts found elsewhere, so only
         such n-grams are asked for; all documents that share one ask for it.
         """
+        where, flat = [], []
         for k in orders:
+            some = self.hashes[k - 1] != 0
             if k > 2:
-                part = self.rest[k - 2] > 0
-                both = part.copy()
-                both[1:] &= part[:-1]
-                both[:1] = False
-                self.hashes[k - 1] = np.where(both, self.hashes[k - 1], 0)
-        return table([self.hashes[k - 1] for k in orders])
-
-    def answer(self, orders: list[int], totals: np.ndarray) -> None:
-        distinct, _ = self.ask(orders)
-        assert len(totals) == len(distinct), "the text of a block changed between two reads"
-        for k in orders:
-            h = self.hashes[k - 1]
-            here = np.flatnonzero(h)
-            at = np.searchsorted(distinct, h[here])
-            _, inverse, own = np.unique(self.of[here] * len(distinct) + at, return_inverse=True, return_counts=True)
-            n = np.zeros(len(h), np.int64)
-            n[here] = totals[at] - own[inverse]
+                found = self.rest[k - 2] > 0
+                some &= found
+                some[1:] &= found[:-1]
+                some[:1] = False
+            where.append(np.flatnonzero(some))
+            flat.append(self.hashes[k - 1][where[-1]])
+        order = np.argsort(np.concatenate(flat), kind="stable")  # of equal n-grams of an order, documents rise
+        flat = np.concatenate(flat)[order]
+        place, of_order = np.concatenate(where)[order], np.repeat(np.arange(len(orders)), [len(w) for w in where])[order]
+        new = np.concatenate([[True], flat[1:] != flat[:-1]])[: len(flat)]
+        starts = np.flatnonzero(new)
+        doc = self.of[place]
+        own = np.flatnonzero(new | np.concatenate([[True], doc[1:] != doc[:-1]])[: len(flat)])
+        n_own = np.diff(np.append(own, len(flat)))
+        self.asked = place, of_order, np.cumsum(new) - 1, np.repeat(n_own, n_own)
+        return flat[starts], np.diff(np.append(starts, len(flat)))
+
+    def answer(self, orders: list[int], elsewhere: np.ndarray) -> None:
+        """``elsewhere``: occurrences in other blocks of each n-gram that :meth:`ask` gave."""
+        _, counts = self.ask(orders)
+        assert len(elsewhere) == len(counts), "the text of a block changed between two reads"
+        place, of_order, group, own = self.asked
+        rest = (elsewhere + counts)[group] - own
+        for i in range(len(orders)):
+            n = np.zeros(len(self.of), np.int64)
+            mine = of_order == i
+            n[place[mine]] = rest[mine]
             self.rest.append(n)
 
     def scores(self, corpus: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -139,7 +165,7 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BY
     Words are runs of characters other than ASCII white space, A-Z lowered. ``n_k`` counts the words
     scored by n-grams of order k. Null and empty texts have no words, score 0 and a null mean. Rows
     are documents of their own, repeated ids and texts included (a copy counts as another document);
-    other columns are ignored.
+    other columns are ignored. The input must read alike when a task is run again, as files do.
     """
     if order < 1:
         raise ValueError("order must be positive")
@@ -151,22 +177,43 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BY
         for b in batches:
             for _, texts in texts_of(b, 0):
                 for _, run in buffers(texts):
-                    n += len(word_hashes(run)[0])
+                    n += count_words(run)
                     size += sum(map(len, run))
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["n", "size"])
 
     sums = rows.select("text").mapInArrow(count, "n bigint, size bigint").agg(F.sum("n"), F.sum("size")).first()
     corpus, blocks = sums[0] or 0, max(1, ceil((sums[1] or 0) / block_bytes))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks))).repartition(blocks, "block")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, number, size = TaskContext.get().partitionId(), 0, 0
+        held: tuple[list, list] = ([], [])
+
+        def block() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(part << 32) + number], pa.int64()), pa.array([bundle(*held)], pa.large_binary()).cast(pa.binary())], names=["block", "data"])
+
+        for b in batches:
+            for at, texts in texts_of(b, 1, 64):
+                for doc, text in zip(b.column(0).slice(at, len(texts)).to_pylist(), texts, strict=True):
+                    held[0].append(doc)
+                    held[1].append(text)
+                    size += len(text or "") + 16
+                    if size >= block_bytes:
+                        yield block()
+                        held, size, number = ([], []), 0, number + 1
+        if held[0]:
+            yield block()
+
+    dealt = rows.mapInArrow(gather, "block bigint, data binary").repartition(blocks, "block")
 
     rounds = rounds_of(order)
 
-    def read(left: pa.Table, right: pa.Table | None, answered: int) -> Block:
-        block = Block(left.column("text").to_pylist(), order)
+    def read(left: pa.Table, right: pa.Table | None, answered: int) -> tuple[list[int | None], Block]:
+        ids, texts = unbundle(left.column("data")[0].as_buffer().to_pybytes())
+        block = Block(texts, order)
         for k in range(answered):
-            got = sorted((b, t) for r, b, t in zip(right.column("round").to_pylist(), right.column("bucket").to_pylist(), right.column("totals").to_pylist(), strict=True) if r == k)
+            got = sorted((b, t) for r, b, t in zip(right.column("round").to_pylist(), right.column("bucket").to_pylist(), right.column("elsewhere").to_pylist(), strict=True) if r == k)
             block.answer(rounds[k], np.concatenate([np.zeros(0, np.uint64), *(unsqueeze(t) for _, t in got)]).astype(np.int64))
-        return block
+        return ids, block
 
     def explode(block: Block, number: int, k: int) -> pa.Table:
         distinct, n = block.ask(rounds[k])
@@ -177,18 +224,23 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BY
 
     def total(t: pa.Table) -> pa.Table:
         parts = [np.cumsum(unsqueeze(g), dtype=np.uint64) for g in t.column("grams").to_pylist()]
-        distinct, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-        sums = np.bincount(inverse, np.concatenate([unsqueeze(c) for c in t.column("counts").to_pylist()]).astype(float), len(distinct)).astype(np.int64)
+        counts = [unsqueeze(c).astype(np.int64) for c in t.column("counts").to_pylist()]
+        flat, own = np.concatenate(parts), np.concatenate(counts)
+        order = np.argsort(flat, kind="stable")  # sorted runs laid end to end
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(flat[order]) != 0]))
+        sums = np.add.reduceat(own[order], starts)
+        rest = np.empty(len(flat), np.int64)
+        rest[order] = np.repeat(sums, np.diff(np.append(starts, len(flat)))) - own[order]
         cut = np.cumsum([0, *map(len, parts)])
-        answers = [squeeze(sums[inverse[a:b]]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
-        return pa.table([t.column("block").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(answers, pa.binary())], names=["block", "bucket", "totals"])
+        answers = [squeeze(rest[a:b]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
+        return pa.table([t.column("block").combine_chunks(), t.column("bucket").combine_chunks(), pa.array(answers, pa.binary())], names=["block", "bucket", "elsewhere"])
 
     def first(t: pa.Table) -> pa.Table:
-        return explode(read(t, None, 0), t.column("block")[0].as_py(), 0)
+        return explode(read(t, None, 0)[1], t.column("block")[0].as_py(), 0)
 
     def later(k: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            return explode(read(left, right, k), left.column("block")[0].as_py(), k)
+            return explode(read(left, right, k)[1], left.column("block")[0].as_py(), k)
 
         return run
 
@@ -198,15 +250,15 @@ def score_documents(docs: DataFrame, order: int = 3, block_bytes: int = BLOCK_BY
             sent = dealt.groupBy("block").applyInArrow(first, asked)
         else:
             sent = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(later(k), asked)
-        back = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(total, "block bigint, bucket bigint, totals binary").withColumn("round", F.lit(k))
+        back = sent.repartition(blocks, "bucket").groupBy("bucket").applyInArrow(total, "block bigint, bucket bigint, elsewhere binary").withColumn("round", F.lit(k))
         back = back.repartition(blocks, "block")
         answers = back if answers is None else answers.unionByName(back)
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = read(left, right, len(rounds))
+        ids, block = read(left, right, len(rounds))
         log, by = block.scores(corpus)
         mean = [x / n if n else None for x, n in zip(log.tolist(), block.n_words.tolist(), strict=True)]
-        return pa.table([left.column("doc_id").combine_chunks(), pa.array(block.n_words.astype(np.int64)), pa.array(log), pa.array(mean, pa.float64()), *(pa.array(b.astype(np.int64)) for b in by)], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_unknown", *names])
+        return pa.table([pa.array(ids, pa.int64()), pa.array(block.n_words.astype(np.int64)), pa.array(log), pa.array(mean, pa.float64()), *(pa.array(b.astype(np.int64)) for b in by)], names=["doc_id", "n_words", "log_score", "mean_log_score", "n_unknown", *names])
 
     schema = "doc_id bigint, n_words bigint, log_score double, mean_log_score double, n_unknown bigint, " + ", ".join(f"{n} bigint" for n in names)
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, schema)

@@ -82,6 +82,12 @@ def word_hashes(run: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return words, np.searchsorted(text_end, start, "right")
 
 
+def count_words(run: list[bytes]) -> int:
+    """How many words these texts have."""
+    gap = _GAP[np.frombuffer(b" ".join(run) + b" ", np.uint8)]
+    return int(np.count_nonzero(gap[1:] & ~gap[:-1]))
+
+
 def trimmed_words(run: list[bytes]) -> tuple[np.ndarray, ...]:
     """Hash, position of the text, first and end byte (in the texts laid end to end, one byte apart) of each word.
 
