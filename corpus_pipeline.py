@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies the document of least id; of rows equal in id and text one."""
     comp = jaccard_join.jaccard_components(docs, SHINGLE_WORDS, NEAR_PERCENT)
     ids = save(comp.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("doc_id") == F.col("component_id")).alias("stays")), "stays")
-    once = docs.join(ids.where("not stays or n > 1").select("doc_id"), "doc_id", "left_anti")
-    again = docs.join(ids.where("stays and n > 1").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    once = docs.join(jaccard_join.sent(ids.where("not stays or n > 1").select("doc_id")), "doc_id", "left_anti")
+    again = docs.join(jaccard_join.sent(ids.where("stays and n > 1").select("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return once.select(*docs.columns).unionByName(again.select(*docs.columns))
 
 

@@ -52,7 +52,7 @@ SAMPLE, FREQUENT = 8_192, 500_000
 #: Different sets whose digests begin alike that are told apart, at most (at 25 billion sets, about 17).
 COLLIDED = 100_000
 #: Ids that are sent to every task; with more, texts and ids are dealt by id.
-SENT_IDS = 100_000
+SENT_IDS = 1_000_000
 
 
 def linked(inter: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -557,6 +557,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def sent(ids: DataFrame) -> DataFrame:
+    """Ids for a join with texts: sent to every task where they are few, else dealt by id as the texts are."""
+    return F.broadcast(ids) if ids.count() <= SENT_IDS else ids.hint("merge")
+
+
 def _collided(sets: DataFrame) -> frozenset[int]:
     """First halves of digests that different sets share: a few in a corpus of any real size."""
     same = sets.where("n_shingles > 0").groupBy("node").agg(F.min("c2").alias("lo"), F.max("c2").alias("hi")).where("lo <> hi").select("node")
@@ -599,9 +604,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
                         rows.append((r, n, s.tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.binary()))], names=["region", "node", "set"])
 
-    # few texts as a rule: their ids are sent to the table where they are few, else both are dealt by id
-    few = wanted.count() <= SENT_IDS
-    texts = known.join(F.broadcast(wanted) if few else wanted.hint("merge"), "doc_id").select("doc_id", "text", "region", "node")
+    texts = known.join(sent(wanted), "doc_id").select("doc_id", "text", "region", "node")
     rows = save(texts.mapInArrow(collect, "region string, node bigint, set binary").dropDuplicates(["region", "node"]), "regions")
     drop(wanted)
     comp = _join_regions(rows, percent)
