@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from conftest import SF
 from hypothesis import given, settings
@@ -32,3 +34,18 @@ def test_rows_pass_through(spark):
     assert len(rows) == 4 and all(r.n_chars == len(r.text) for r in rows)
     assert extract(pages.limit(0)).count() == 0
     assert extract(spark.read.parquet(f"{SF}/pages.parquet")).where("n_chars = 0").count() == 0
+
+
+def test_attribute_names_count_as_a_whole():
+    page = '<article><p data-id="footer">One.</p><p class="x" title="class=menu">Two.</p><p id=nav>No.</p><p aria-hidden="true">No.</p><p style="display: none">No.</p><p hidden>No.</p><p data-hidden="1">Three.</p></article>'
+    assert main_text(page) == "One.\nTwo.\nThree."
+
+
+@pytest.mark.parametrize("tag", ["<div>x", "<b>x", "<li>x", "<ul><li>x", "<p>x", "<table><tr><td>x", '<div class="a b">x', "</div><span>x", "<div", "<!-", "&amp;<"])
+def test_long_and_deep_pages_take_linear_time(tag):
+    began = time.process_time()
+    main_text(tag * 2_000)
+    short = time.process_time() - began
+    began = time.process_time()
+    main_text(tag * 20_000)
+    assert time.process_time() - began < 30 * short + 2

@@ -9,9 +9,10 @@ path are content. The region around the content paths then keeps its short block
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -37,16 +38,61 @@ MARKS = frozenset(".,;:!?…。、，！？；：¿¡")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
-_ATTR = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_HIDDEN = re.compile(r"""\shidden(?:[\s=/>])|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTR = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)(?:"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
-    """Blocks of text in page order: their path of block tags, its furniture depth (0: none), the text."""
-    out: list[tuple[tuple[str, ...], int, str]] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, label, furniture, dropped
+def attributes(tok: str) -> tuple[set[str], bool]:
+    """Words of a start tag's class, id and role, and whether it hides what it holds. Names count as a whole."""
+    words, hidden = set(), False
+    for m in _ATTR.finditer(tok, _NAME.match(tok).end()):
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if name in ("class", "id", "role"):
+            words.update(_WORDS.findall(value.lower()))
+        elif name == "style":
+            hidden |= bool(_NO_DISPLAY.search(value))
+        hidden |= name == "hidden" or name == "aria-hidden" and value.lower() == "true"
+    return words, hidden
+
+
+class Open:
+    """Open elements, with the places of each tag, so that finding the last one takes no walk."""
+
+    def __init__(self) -> None:
+        self.items: list[tuple[str, bool, bool]] = []  # tag, furniture, dropped
+        self.at: dict[str, list[int]] = {}
+        self.paths: list[int] = [0]  # the path of block tags at each depth
+        self.outer: list[int] = []  # places of block elements
+
+    def last(self, tags: Iterable[str]) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
+
+
+class Paths:
+    """Paths of block tags as a tree: each is a number, with its parent, its label and whether a container is above."""
+
+    def __init__(self) -> None:
+        self.parent, self.label, self.depth, self.box = [-1], [""], [0], [False]
+        self.known: dict[tuple[int, str], int] = {}
+
+    def below(self, path: int, label: str) -> int:
+        got = self.known.get((path, label))
+        if got is None:
+            got = self.known[path, label] = len(self.parent)
+            self.parent.append(path)
+            self.label.append(label)
+            self.depth.append(self.depth[path] + 1)
+            self.box.append(self.box[path] or label.split(".")[0] in CONTAINERS)
+        return got
+
+
+def blocks(page: str) -> tuple[Paths, list[tuple[int, int, str]]]:
+    """Blocks of text in page order: the path, the furniture depth (0: none), the text. Linear in the page."""
+    out: list[tuple[int, int, str]] = []
+    paths, open_ = Paths(), Open()
+    stack = open_.items
     text: list[str] = []
     bad = hidden = 0
 
@@ -54,15 +100,20 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
         if text:
             got = " ".join("".join(text).split())
             if got and not hidden:
-                out.append((tuple(s[1] for s in stack if s[0] not in INLINE), bad, got))
+                out.append((open_.paths[-1], bad, got))
             text.clear()
 
     def pop(to: int) -> None:
         nonlocal bad, hidden
         while len(stack) > to:
-            if stack[-1][0] not in INLINE or stack[-1][3]:
+            tag, f, h = stack[-1]
+            if tag not in INLINE or h:
                 flush()
-            _, _, f, h = stack.pop()
+            stack.pop()
+            open_.at[tag].pop()
+            open_.paths.pop()
+            if open_.outer and open_.outer[-1] == len(stack):
+                open_.outer.pop()
             bad -= f
             hidden -= h
 
@@ -86,8 +137,8 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
                 if tag == "br":
                     text.append(" ")
                 continue
-            k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if k is not None and not (tag in INLINE and any(s[0] not in INLINE for s in stack[k + 1 :])):
+            k = open_.last((tag,))
+            if k >= 0 and not (tag in INLINE and open_.outer and open_.outer[-1] > k):
                 pop(k)
             continue
         if tag in VOID:
@@ -98,30 +149,29 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
             continue
         if tag not in INLINE:
             if tag not in PARAGRAPHS or tag == "p":
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == "p"), None)
-                if k is not None:
+                k = open_.last(("p",))
+                if k >= 0:
                     pop(k)
-            ends = CLOSES.get(tag)
-            if ends:
-                k = None
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in STOPS[tag]:
-                        break
-                    if stack[i][0] in ends:
-                        k = i
-                if k is not None:
+            if tag in CLOSES:  # what stands open since the last element that holds such tags
+                floor = open_.last(STOPS[tag])
+                k = min((p[bisect.bisect_right(p, floor)] for t in CLOSES[tag] if (p := open_.at.get(t)) and p[-1] > floor), default=-1)
+                if k >= 0:
                     pop(k)
             flush()
-        words = set(_WORDS.findall(" ".join(filter(None, (x for a in _ATTR.findall(tok) for x in a))).lower())) if "=" in tok else set()
+        words, h = attributes(tok) if len(tok) > len(tag) + 2 else (set(), False)
         f = (tag in FURNITURE or bool(words & FURNITURE_WORDS)) and tag not in ("html", "body") and tag not in CONTAINERS
-        h = tag in DROPPED or bool(_HIDDEN.search(tok))
+        h = h or tag in DROPPED
         if h and tag in INLINE | DROPPED:
             text.append(" ")
         if h:
             flush()
-        if tok.endswith("/>") and tag not in RAW and tag not in INLINE and tag in ("svg", "math"):
+        if tok.endswith("/>") and tag in ("svg", "math"):
             continue
-        stack.append((tag, tag + "".join(f".{w}" for w in sorted(words)), f, h))
+        open_.at.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            open_.outer.append(len(stack))
+        open_.paths.append(open_.paths[-1] if tag in INLINE else paths.below(open_.paths[-1], tag + "".join(f".{w}" for w in sorted(words))))
+        stack.append((tag, f, h))
         bad += f
         hidden += h
         if tag in RAW:
@@ -129,48 +179,55 @@ def blocks(page: str) -> list[tuple[tuple[str, ...], int, str]]:
             at = end.start() if end else n
     pop(0)
     flush()
-    return out
+    return paths, out
 
 
-def content(found: list[tuple[tuple[str, ...], int, str]], share: float = 0.25) -> list[str]:
+def content(paths: Paths, found: list[tuple[int, int, str]], share: float = 0.25) -> list[str]:
     """Blocks on content paths, and the short blocks beside them, in page order."""
     open_ = [b for b in found if not b[1]]
-    if any(x.split(".")[0] in CONTAINERS for p, _, _ in open_ for x in p):
+    if any(paths.box[p] for p, _, _ in open_):
         # a page that says where its article is: the paths inside compete among themselves
-        open_ = [b for b in open_ if any(x.split(".")[0] in CONTAINERS for x in b[0])]
+        open_ = [b for b in open_ if paths.box[b[0]]]
     if not open_:
         return []
-    size: dict[tuple, float] = {}
-    marks: dict[tuple, int] = {}
-    count: dict[tuple, int] = {}
+    size: dict[int, float] = {}
+    marks: dict[int, int] = {}
+    count: dict[int, int] = {}
     for p, _, t in open_:
         size[p] = size.get(p, 0) + len(t)
         marks[p] = marks.get(p, 0) + sum(map(t.count, MARKS))
         count[p] = count.get(p, 0) + 1
     ratio = [size[p] / count[p] for p, _, _ in open_]
-    smooth: dict[tuple, float] = {}
+    smooth: dict[int, float] = {}
     for i, (p, _, _) in enumerate(open_):
         near = ratio[max(0, i - 2) : i + 3]
         smooth[p] = smooth.get(p, 0) + sum(near) / len(near) / count[p]
-    total_marks = sum(marks.values()) or 1
-    score = {p: smooth[p] * (size[p] / sum(size.values()) + marks[p] / total_marks) for p in size}
+    total_marks, total = sum(marks.values()) or 1, sum(size.values())
+    score = {p: smooth[p] * (size[p] / total + marks[p] / total_marks) for p in size}
     best = max(score.values())
     chosen = [p for p in score if score[p] >= share * best]
-    root = chosen[0]
-    for p in chosen:  # the deepest element around all content paths
-        k = 0
-        while k < min(len(root), len(p)) and root[k] == p[k]:
-            k += 1
-        root = root[:k]
-    root = root[:-1] if root and root in score and len(chosen) == 1 else root
-    box = next((i for i in range(len(root) - 1, -1, -1) if root[i].split(".")[0] in CONTAINERS), None)
-    root = root if box is None else root[: box + 1]
-    return [t for p, _, t in open_ if p[: len(root)] == root]
+    under = [0] * len(paths.parent)  # content paths at or below each path; a path's number is over its parent's
+    for p in chosen:
+        under[p] = 1
+    for p in range(len(under) - 1, 0, -1):
+        under[paths.parent[p]] += under[p]
+    root = max((p for p in range(len(under)) if under[p] == len(chosen)), key=paths.depth.__getitem__)  # the deepest around them all
+    if len(chosen) == 1 and root:
+        root = paths.parent[root]
+    box = root
+    while box > 0 and paths.label[box].split(".")[0] not in CONTAINERS:
+        box = paths.parent[box]
+    root = box if box > 0 else root
+    inside = [False] * len(paths.parent)
+    inside[root] = True
+    for p in range(root + 1, len(inside)):
+        inside[p] = inside[p] or inside[paths.parent[p]]
+    return [t for p, _, t in open_ if inside[p]]
 
 
 def main_text(page: str | None) -> str:
     """The main text of one page: its content blocks joined by line feeds."""
-    return "\n".join(content(blocks(page or "")))
+    return "\n".join(content(*blocks(page or "")))
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
