@@ -46,3 +46,11 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id bigint, embedding array<double>, label int, rep int")
     assert got(link_vectors(df, 0.93, tile=16)) == brute(rows, 0.93)
     assert link_vectors(df.limit(0)).collect() == []
+
+
+def test_extreme_lengths_and_null_ids(spark):
+    rows = [(1, [1e-200, 2e-200], 1), (2, [1e200, 2e200], 1), (3, [3.0, 6.0], 1), (4, [-1e200, 1e200], 1), (5, [5e-324, 1e-323], 1), (6, [1.7e308, 1.7e308], 2), (7, [1e308, 1e308], 2), (None, [3.0, 6.0], 1), (None, [1.0, 2.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")
+    out = link_vectors(df, 0.93).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out if r.vec_id} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (1, 6), 7: (1, 6)}
+    assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] * 2

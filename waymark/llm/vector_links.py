@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.components import connected_components
@@ -85,19 +85,30 @@ def tile_links(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float,
         yield r + i[yes], j[yes]
 
 
+def _times_power(x: Column, k: Column) -> Column:
+    """``x / 2 ** k`` in two steps, as the power alone may be out of range."""
+    half = F.floor(k / 2)
+    return x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - k)
+
+
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: ``vec_id, n_links, component_id, kept``.
 
     Vectors link when their labels are equal and not null, their lengths are equal and their cosine
     in double precision is at least ``threshold`` (over 0). Null, empty and zero vectors, and those
     with null or non-finite components, link with nothing. Repeated rows count as vectors of their
-    own, linked to each other. A null id stays null. Other columns are ignored.
+    own, linked to each other. Vectors are scaled by powers of two first, so no finite length is too great
+    or too small; components below 1e-300 of the largest may vanish. A row with a null id takes no part:
+    its id and component are null, it is kept and has no links. Other columns are ignored.
     """
     if not 0 < threshold <= 1:
         raise ValueError("threshold must be over 0 and at most 1")
     vec = F.col(vector_col)
     sound = F.col(label_col).isNotNull() & vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.when(F.coalesce(sound, F.lit(False)), F.transform(vec, lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
+    # by a power of two, which changes no cosine and no digit: squares neither vanish nor overflow
+    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
+    rows = rows.withColumn("scale", F.floor(F.log2(top))).withColumn("v", F.transform("v", lambda x: _times_power(x, F.col("scale")))).drop("scale")
     rows = rows.withColumn("c1", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))).withColumn("c2", F.xxhash64(F.lit(1), "v", "label"))
     classes = save(rows.where("v is not null and vec_id is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")), "vector-classes")
 
@@ -173,6 +184,6 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 2048,
     comp = connected_components(found).withColumnsRenamed({"node": "rep"})
     known = classes.select("c1", "c2", "rep", "copies").join(counts, "rep", "left").join(comp, "rep", "left")
     known = known.select("c1", "c2", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("component", "rep").alias("component"))
-    keys = rows.select("vec_id", "c1", "c2")
+    keys = rows.select("vec_id", *(F.when(F.col("vec_id").isNotNull(), F.col(c)).alias(c) for c in ("c1", "c2")))
     out = keys.join(known, ["c1", "c2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component")), F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
