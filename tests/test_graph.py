@@ -59,11 +59,12 @@ def test_assignments(spark):
     assert index.assign_to_endpoints(points.limit(0)).columns == ["point_id", "x", "y", "type", "assigned_node_id", "distance"]
 
 
-@pytest.mark.parametrize("top", [10**6, 0])
-def test_nearest_against_brute_force(spark, monkeypatch, top):
-    monkeypatch.setattr(spatial, "TOP_TARGETS", top)
+@pytest.mark.parametrize("most, levels", [(4096, 16), (4096, 1), (40, 16)])
+def test_nearest_against_brute_force(spark, monkeypatch, most, levels):
+    monkeypatch.setattr(spatial, "BLOCK_TARGETS", most)
+    monkeypatch.setattr(spatial, "LEVELS", levels)
     nodes = spark.range(300).select(F.col("id").alias("node_id"), (F.rand(1) * 100).alias("x"), (F.pow(F.rand(2), 6) * 1000).alias("y"))
-    nodes = nodes.union(nodes.selectExpr("node_id + 1000", "x", "y")).cache()
+    nodes = nodes.union(nodes.selectExpr("node_id + 1000", "x", "y")).union(spark.createDataFrame([(5000, 1e9, -1e9)], "node_id bigint, x double, y double")).cache()
     points = spark.range(300).select(F.col("id").alias("point_id"), (F.rand(3) * 200 - 50).alias("x"), (F.rand(4) * 3000 - 1000).alias("y")).cache()
     at = [(r.node_id, r.x, r.y) for r in nodes.collect()]
     for r in spatial.nearest_node(points, nodes).collect():

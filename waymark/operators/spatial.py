@@ -4,9 +4,11 @@ A grid turns nearness into equality of cells, so every join here is an equi-join
 neighbours, targets are gathered into one array per cell (with the cells around it), a point reads
 the array of its own cell and takes the least ``(distance, id)`` of it: one row per point throughout,
 no candidate rows, no aggregation over points. An answer within one cell width is certain, since
-all targets that near lie in the block; a point without a certain answer looks one level up, where
-cells are twice as wide, and at last at all targets. Small target tables are broadcast by the
-planner on their measured size, and points then are not shuffled at all.
+all targets that near lie in the block. Only points without a certain answer look one level up, where
+cells are four times as wide; those of the last level meet all targets, in blocks. No array is longer
+than ``BLOCK_TARGETS``: the finest cells are made for the densest part of the table, and a cell that is
+too full for a level is left to the levels below and to the last. Small target tables are broadcast
+by the planner on their measured size, and points then are not shuffled at all.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions import geometry as G
+from waymark.plans.storage import save
 
-#: Targets that the last level may put into one array; beyond it the last level is computed in blocks.
-TOP_TARGETS = 100_000
-#: Mean number of targets of a cell at the finest level, and of the block around a cell at the coarsest.
-CELL_TARGETS, BLOCK_TARGETS = 2.0, 4_096
+#: Mean number of targets of a cell at the finest level, most targets that a point looks at in a level, and levels.
+CELL_TARGETS, BLOCK_TARGETS, LEVELS = 2.0, 4_096, 16
+#: Most targets that the finest level leaves in a cell where finer cells can part them.
+DENSE = 64
 BLOCK = 2_048
 
 
@@ -35,18 +38,27 @@ def _around(value: Column) -> Column:
 
 
 def _levels(targets: DataFrame, x: Column, y: Column) -> tuple[list[float], int]:
-    """Cell widths from fine to coarse, and the number of targets."""
-    box = targets.agg(F.count(F.lit(1)).alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1")).first()
+    """Cell widths from fine to coarse, and the number of targets.
+
+    The widths between are fitted to the middle of the table, so that targets far out widen no cell,
+    and refined while some cell of distinct places is too full.
+    """
+    places = targets.select(x.alias("x"), y.alias("y"))
+    ends = [F.percentile_approx(c, [0.02, 0.98], 1000).alias(f"q{c}") for c in "xy"]
+    box = places.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"), *ends).first()
     n = box["n"]
     if not n:
         return [], 0
-    wide, high = box["x1"] - box["x0"], box["y1"] - box["y0"]
-    extent = max(wide, high, 1e-9)
-    width = max(sqrt(max(wide, extent / n) * max(high, extent / n) / n * CELL_TARGETS), 1e-9)
-    out, mean = [], 9 * CELL_TARGETS
-    while width < extent and mean <= BLOCK_TARGETS:
+    extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-9)
+    wide, high = (max(q[1] - q[0], extent / n) for q in (box["qx"], box["qy"]))
+    width = max(sqrt(wide * high / n * CELL_TARGETS), 1e-9 * extent, 1e-9)
+    full = places.distinct().groupBy(cell(F.col("x"), width), cell(F.col("y"), width)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+    while full > DENSE and width > 1e-9 * extent:  # a guess: places of the fullest cell may be closer still, and then go up
+        width, full = width / 4, full / 16
+    out = []
+    while width < 2 * extent and len(out) < LEVELS:
         out.append(width)
-        width, mean = 2 * width, 4 * mean
+        width *= 4
     return out, n
 
 
@@ -54,37 +66,42 @@ def _nearest(points: DataFrame, targets: DataFrame, cells: Callable[[DataFrame,
     """Append ``out_id`` and ``distance``. ``targets`` has a struct ``t`` with ``id`` first; ``cells`` deals it out."""
     keep = [c for c in points.columns if c not in (out_id, "distance")]
     rows = points.select(F.struct(*(F.col(c) for c in keep)).alias("p"))
-    ok = G.sound(F.col("p.x").cast("double"), F.col("p.y").cast("double"))
-    rows = rows.withColumns({"px": F.when(ok, F.col("p.x").cast("double")), "py": F.when(ok, F.col("p.y").cast("double"))})
+    px, py = F.col("p.x").cast("double"), F.col("p.y").cast("double")
+    ok = G.sound(px, py)
     widths, n = _levels(targets, *center)
     best = F.array_min(F.transform("ts", lambda t: F.struct(d2(t).alias("d2"), t["id"].alias("id"))))
-    kind = rows.select(F.lit(None).cast("struct<d2:double,id:bigint>").alias("b"))
-    rows = rows.withColumn("b", F.lit(None).cast(kind.schema["b"].dataType)).withColumn("done", F.col("px").isNull())
-    spread = F.pmod(F.xxhash64("p"), F.lit(1 << 30)) - F.lit(1 << 62)  # rows that ask no more must not share a key
+    nothing = F.lit(None).cast(f"struct<d2:double,id:{dict(targets.select('t.id').dtypes)['id']}>")
+    done = [rows.where(~ok if n else F.lit(True)).select("p", nothing.alias("b"))]
+    rows = rows.where(ok if n else F.lit(False)).select("p", px.alias("px"), py.alias("py"))
     for width in widths:
-        table = cells(targets, width).groupBy("cx", "cy").agg(F.collect_list("t").alias("ts"))
-        rows = rows.withColumns({"cx": F.when(F.col("done"), spread).otherwise(cell(F.col("px"), width)), "cy": F.when(F.col("done"), F.lit(0)).otherwise(cell(F.col("py"), width))})
-        rows = rows.join(table, ["cx", "cy"], "left")
-        new = F.when(F.col("done"), F.col("b")).otherwise(best)
-        rows = rows.select("p", "px", "py", new.alias("b"), "done")
-        rows = rows.withColumn("done", F.col("done") | F.coalesce(F.col("b.d2") <= width * width, F.lit(False)))
-    if n and n <= TOP_TARGETS:
-        all_ = targets.agg(F.collect_list("t").alias("ts")).withColumn("k", F.lit(0).cast("bigint"))
-        rows = rows.withColumn("k", F.when(F.col("done"), spread).otherwise(F.lit(0))).join(F.broadcast(all_), "k", "left")  # TOP_TARGETS at most
-        rows = rows.select("p", F.when(F.col("done"), F.col("b")).otherwise(best).alias("b"))
-    elif n:
-        rows = _in_blocks(rows, targets, n, best)
-    return rows.select("p.*", F.col("b.id").alias(out_id), F.sqrt("b.d2").alias("distance"))
+        rows = rows.withColumns({"cx": cell(F.col("px"), width), "cy": cell(F.col("py"), width)})
+        table = cells(targets, width)
+        if width != widths[0]:  # few points are left: only their cells count, and of these the ones that are not too full
+            table = table.join(rows.select("cx", "cy").distinct(), ["cx", "cy"], "left_semi")
+            table = table.join(table.groupBy("cx", "cy").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= BLOCK_TARGETS).select("cx", "cy"), ["cx", "cy"], "left_semi")
+        table = table.groupBy("cx", "cy").agg(F.collect_list("t").alias("ts"))
+        met = rows.join(table, ["cx", "cy"], "left").select("p", "px", "py", best.alias("b"))
+        met = save(met.withColumn("sure", F.coalesce(F.col("b.d2") <= width * width, F.lit(False))), "nearest")
+        done.append(met.where("sure").select("p", "b"))
+        rows = met.where("not sure").select("p", "px", "py")
+        if rows.isEmpty():
+            break
+    else:
+        if n:
+            done.append(_in_blocks(rows, targets, n, best))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.select("p.*", F.col("b.id").alias(out_id), F.sqrt("b.d2").alias("distance"))
 
 
 def _in_blocks(rows: DataFrame, targets: DataFrame, n: int, best: Column) -> DataFrame:
     """The few points far from everything meet all targets, in blocks of bounded size."""
     blocks = -(-n // BLOCK)
     dealt = targets.groupBy(F.pmod(F.xxhash64("t"), F.lit(blocks)).alias("block")).agg(F.collect_list("t").alias("ts"))
-    far = rows.where(~F.col("done")).withColumn("row", F.xxhash64("p", F.monotonically_increasing_id()))
+    far = rows.withColumn("row", F.xxhash64("p", F.monotonically_increasing_id()))
     far = far.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).join(dealt, "block")
-    far = far.select("row", "p", best.alias("b")).groupBy("row").agg(F.first("p").alias("p"), F.min("b").alias("b"))
-    return rows.where("done").select("p", "b").unionByName(far.select("p", "b"))
+    return far.select("row", "p", best.alias("b")).groupBy("row").agg(F.first("p").alias("p"), F.min("b").alias("b")).select("p", "b")
 
 
 def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -93,7 +110,8 @@ def nearest_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     Points with null or non-finite coordinates, and all points where there are no nodes, get nulls.
     """
     x, y = F.col("x").cast("double"), F.col("y").cast("double")
-    targets = nodes.where(G.sound(x, y)).select(F.struct(F.col("node_id").cast("bigint").alias("id"), x.alias("x"), y.alias("y")).alias("t"))
+    places = nodes.where(G.sound(x, y)).groupBy(x.alias("x"), y.alias("y")).agg(F.min(F.col("node_id").cast("bigint")).alias("id")).where("id is not null")
+    targets = places.select(F.struct("id", "x", "y").alias("t"))
 
     def cells(t: DataFrame, width: float) -> DataFrame:
         return t.select("t", F.explode(_around(cell(F.col("t.x"), width))).alias("cx")).select("t", "cx", F.explode(_around(cell(F.col("t.y"), width))).alias("cy"))
