@@ -180,3 +180,15 @@ def test_stream(spark, tmp_path):
     stream = spark.readStream.schema("point_id bigint, x double, y double").parquet(str(tmp_path / "in"))
     assign_stream(stream, g, lambda df, k: got.extend((r.point_id, r.assigned_node_id) for r in df.collect()), str(tmp_path / "cp"), availableNow=True).awaitTermination(120)
     assert sorted(got) == [(0, 0), (1, 2)]
+
+
+def test_titles_and_written_buffers(spark, tmp_path):
+    index = waymark.MapIndex(make(spark, SIMPLE))
+    view = waymark.render_realtime(index)
+    assert view["view"].first().title == "Street Network Visualization"
+    waymark.write_buffers(view, str(tmp_path))
+    for name, rows in view.items():
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() == rows.count()
+    g = make(spark, SIMPLE)
+    same = waymark.simplify_graph_parallel_cgal(g.nodes, g.segments, 1.0)
+    assert same.size() == waymark.simplify_graph_parallel(g, 1.0).size()

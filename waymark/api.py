@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from waymark.graph import POINT_COLUMNS, StreetGraph, require
 from waymark.operators import density, spatial
@@ -49,20 +50,40 @@ def simplify_graph(graph: StreetGraph, threshold_meters: float = 10.0) -> Street
     return simplify_graph_topological(graph) if threshold_meters <= 0 else simplify_graph_geometric(graph, threshold_meters)
 
 
-def render_graph(index: MapIndex) -> dict[str, DataFrame]:
-    """Buffers of the bare graph and its view (5 % padding)."""
-    return index.get_render_data() | {"view": _view(index, 0.05)}
+def simplify_graph_parallel_cgal(nodes: DataFrame, segments: DataFrame, distance_threshold: float = 10.0, angle_threshold_deg: float = 5.0) -> StreetGraph:
+    """:func:`simplify_graph_parallel` under its other name, from two tables."""
+    return simplify_graph_parallel(StreetGraph(nodes, segments), distance_threshold, angle_threshold_deg)
 
 
-def render_heatmap(index: MapIndex, assignments: DataFrame) -> dict[str, DataFrame]:
-    """Buffers of the graph coloured by density, capped at the 98th percentile, and its view."""
-    return index.get_render_data(assignments, 0.5, 98.0) | {"view": _view(index, 0.05)}
+def render_realtime(index: MapIndex, assignments: DataFrame | None = None, title: str = "Street Network Visualization") -> dict[str, DataFrame]:
+    """Buffers of a view, coloured by density where there are assignments, its box and title.
 
+    Density is capped at the 98th percentile; the view is padded by 5 %.
+    """
+    buffers = index.get_render_data(assignments, 0.5, 98.0) if assignments is not None else index.get_render_data()
+    return buffers | {"view": _view(index, 0.05).withColumn("title", F.lit(title))}
 
-def render_comparison(left: MapIndex, right: MapIndex, left_assignments: DataFrame | None = None, right_assignments: DataFrame | None = None) -> dict[str, dict[str, DataFrame]]:
-    """Buffers of two graphs, each with its view (10 % padding)."""
-    sides = (("left", left, left_assignments), ("right", right, right_assignments))
-    return {k: i.get_render_data(a, 0.5, 98.0) | {"view": _view(i, 0.1)} for k, i, a in sides}
+
+def render_graph(index: MapIndex, title: str = "Street Network Graph") -> dict[str, DataFrame]:
+    """Buffers of the bare graph."""
+    return render_realtime(index, None, title)
+
+
+def render_heatmap(index: MapIndex, assignments: DataFrame, title: str = "Crime Density Heatmap") -> dict[str, DataFrame]:
+    """Buffers of the graph coloured by density."""
+    return render_realtime(index, assignments, title)
+
+
+def render_comparison(left: MapIndex, right: MapIndex, left_assignments: DataFrame | None = None, right_assignments: DataFrame | None = None, title_left: str = "Original Graph", title_right: str = "Simplified Graph") -> dict[str, dict[str, DataFrame]]:
+    """Buffers of two graphs, each with its view (10 % padding) and title."""
+    sides = (("left", left, left_assignments, title_left), ("right", right, right_assignments, title_right))
+    return {k: i.get_render_data(a, 0.5, 98.0) | {"view": _view(i, 0.1).withColumn("title", F.lit(t))} for k, i, a, t in sides}
+
+
+def write_buffers(buffers: dict[str, DataFrame], path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+    """Each buffer of a view as a table ``path/name``, in any format Spark writes."""
+    for name, rows in buffers.items():
+        rows.write.mode(mode).format(fmt).save(f"{path}/{name}")
 
 
 def _view(index: MapIndex, padding: float) -> DataFrame:

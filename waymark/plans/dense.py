@@ -23,5 +23,6 @@ def dense_ids(df: DataFrame, order: list[str | Column], name: str, start: int =
     sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     parts = sorted(sizes)
     shift = dict(zip(parts, accumulate([start, *(sizes[p] for p in parts[:-1])]), strict=True)) if parts else {0: start}
-    offset = F.element_at(F.create_map(*(F.lit(v).cast("bigint") for kv in shift.items() for v in kv)), part.cast("bigint"))
-    return rows.withColumn(name, offset + at).drop("__at")
+    offsets = rows.sparkSession.createDataFrame(sorted(shift.items()), "__part bigint, __shift bigint")
+    rows = rows.withColumn("__part", part.cast("bigint")).join(F.broadcast(offsets), "__part")  # a row per partition
+    return rows.withColumn(name, F.col("__shift") + at).drop("__at", "__part", "__shift")

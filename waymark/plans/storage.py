@@ -1,12 +1,13 @@
 """Materialised intermediate tables in the folder that the whole cluster shares.
 
 Iterative operators cut their lineage here. The folder is the one the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests on one machine) is a local folder used.
+``spark.checkpoint.dir``; only where that is unset and Spark runs on one machine is a local folder used.
 Tables are ordinary Parquet, so a lost executor costs a re-read and nothing else.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -20,6 +21,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="waymark-")
