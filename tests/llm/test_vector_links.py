@@ -1,7 +1,7 @@
 import numpy as np
-from conftest import SF
+from conftest import SF, duck, same
 
-from waymark.llm.vector_links import link_vectors
+from waymark.llm.vector_links import link_vectors, oracle
 
 
 def brute(rows, t):
@@ -54,3 +54,7 @@ def test_extreme_lengths_and_null_ids(spark):
     out = link_vectors(df, 0.93).collect()
     assert {r.vec_id: (r.n_links, r.component_id) for r in out if r.vec_id} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (1, 6), 7: (1, 6)}
     assert [(r.n_links, r.component_id, r.kept) for r in out if r.vec_id is None] == [(0, None, True)] * 2
+
+
+def test_matches_duckdb(spark):
+    same(link_vectors(spark.read.parquet(f"{SF}/embeddings.parquet"), 0.93), duck(), oracle(0.93))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import lm_score, sharding
+from waymark.llm import lm_score, sharding, vector_links
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,4 +86,4 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_toxicity, op2_lm_score, op3_packing, op4_licenses, op5_sharding, op6_decontamination, op7_html, op8_suffix, op9_vectors, op10_jaccard)}
-ORACLES: dict[str, str] = {"op2_lm_score": lm_score.oracle(), "op5_sharding": sharding.oracle(SHARD_LIMIT)}
+ORACLES: dict[str, str] = {"op2_lm_score": lm_score.oracle(), "op5_sharding": sharding.oracle(SHARD_LIMIT), "op9_vectors": vector_links.oracle(0.93)}

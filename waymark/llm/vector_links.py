@@ -187,3 +187,16 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 2048,
     keys = rows.select("vec_id", *(F.when(F.col("vec_id").isNotNull(), F.col(c)).alias(c) for c in ("c1", "c2")))
     out = keys.join(known, ["c1", "c2"], "left").select("vec_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), F.coalesce(F.when(F.col("vec_id").isNotNull(), F.col("component")), F.col("vec_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+def oracle(threshold: float = 0.93, table: str = "embeddings") -> str:
+    """The same in DuckDB, for tables without null ids, repeated ids and extreme lengths: all pairs of a label, and reachability."""
+    return f"""
+    WITH RECURSIVE v AS MATERIALIZED (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM {table} WHERE label IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+    l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+        WHERE list_dot_product(a.v, b.v) / sqrt(list_dot_product(a.v, a.v) * list_dot_product(b.v, b.v)) >= {threshold}),
+    r AS (SELECT vec_id AS a, vec_id AS c FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.c = l.a),
+    m AS (SELECT a, min(c) AS c FROM r GROUP BY a), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+    SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(m.c, vec_id)::BIGINT AS component_id, coalesce(m.c, vec_id) = vec_id AS kept
+    FROM {table} e LEFT JOIN m ON m.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
