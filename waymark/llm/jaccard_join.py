@@ -17,8 +17,8 @@ that share a prefix shingle, directly or through others, form the regions where
 
 Where pivots part nothing, a text's rarest shingles within the region (so many that a linked text must
 share one) do. Regions over ``REGION_BYTES`` or ``REGION_TEXTS`` are split by the same steps as
-distributed jobs; one that no step shrinks is compared block against block. Only forests of links
-leave a task.
+distributed jobs; one that no step shrinks is compared block against block. Only stars, a component's
+first text with its others, leave a task.
 """
 
 from __future__ import annotations
@@ -99,10 +99,10 @@ def required(n, percent: int):
 
 
 class Forest:
-    """Union-find that remembers the links which joined something."""
+    """Union-find whose roots are the least members."""
 
     def __init__(self, n: int) -> None:
-        self.root, self.links = np.arange(n), []
+        self.root = np.arange(n)
 
     def find(self, x: int) -> int:
         root = self.root
@@ -116,12 +116,15 @@ class Forest:
             p, q = self.find(x), self.find(y)
             if p != q:
                 self.root[max(p, q)] = min(p, q)
-                self.links.append((x, y))
 
     def one(self, members: np.ndarray) -> bool:
         first = self.find(int(members[0]))
         return all(self.find(int(m)) == first for m in members[1:])
 
+    def stars(self) -> list[tuple[int, int]]:
+        """The root of each member's component, with each member that is not a root."""
+        return [(r, x) for x in range(len(self.root)) if (r := self.find(x)) != x]
+
 
 def intersections(sets: list[np.ndarray], few: list[np.ndarray]) -> np.ndarray:
     """Sizes of the intersections of each of ``sets`` with each of ``few``, by products of bounded 0/1 tables."""
@@ -181,7 +184,7 @@ def voronoi(far: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
 
 
 def metric_join(sets: list[np.ndarray], percent: int, seed: int = 7) -> list[tuple[int, int]]:
-    """Links that connect whatever links of the sets connect (a spanning forest), exactly. No set may be empty."""
+    """Pairs that connect whatever links of the sets connect, exactly: the first of a component with each other. No set may be empty."""
     forest = Forest(len(sets))
     size = np.array([len(s) for s in sets])
     radius = (100 - percent) / 100
@@ -236,7 +239,7 @@ def metric_join(sets: list[np.ndarray], percent: int, seed: int = 7) -> list[tup
             rest = own[name != np.unique(name)[main]]
             for at in range(0, len(rest), 128):
                 compare(own, rest[at : at + 128])
-    return forest.links
+    return forest.stars()
 
 
 # ---- the distributed join -----------------------------------------------------------------------
@@ -532,9 +535,10 @@ def _join_regions(rows: DataFrame, percent: int) -> DataFrame:
         cut = save(_pivot_step(rest, percent), "region-step")
         link(cut.select(F.col("node").alias("a"), F.explode("links").alias("b")))
         comp = connected_components(_union(found))
+        made.append(comp)
+        found = [comp.select(F.col("node").alias("a"), F.col("component").alias("b"))]
         left = kept(_judged(cut, comp), "region-judged")
         drop(cut)
-        drop(comp)
         mine = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
         meet = left.where("fate = 'strays'").withColumn("block", F.explode(mine)).select(F.concat_ws("/", "region", "block").alias("region"), "node", "set")
         link(_join_small(meet, percent))
