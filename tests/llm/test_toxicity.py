@@ -3,37 +3,50 @@ from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from waymark.llm.toxicity import LexiconAutomaton, errors, features, fit, logistic, score, score_documents
+from waymark.llm.toxicity import CONTEXT, LexiconAutomaton, errors, features, fit, learn_context, logistic, score, score_documents
 
 TERMS = ["idiot", "clown", "disgusting", "worthless", "bad", "moron", "moronic"]
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        prev, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            prev, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, prev + (x != y))
-    return row[-1]
-
-
-def tail_distance(term, word):
-    """Edits with the first letter kept."""
-    return distance(term[1:], word[1:]) if word[:1] == term[0] else 99
+    """Letters added, left out, replaced, or changed with their neighbour, none touched twice."""
+    d = [[i + j if not i * j else 0 for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.sampled_from(TERMS), st.lists(st.tuples(st.integers(0, 12), st.sampled_from("abdiot "), st.sampled_from("isd")), max_size=3))
+@given(st.sampled_from(TERMS), st.lists(st.tuples(st.integers(0, 12), st.sampled_from("abdiot "), st.sampled_from("isdt")), max_size=3))
 def test_automaton_against_edit_distance(word, edits):
     for at, ch, how in edits:
-        word = word[:at] + {"i": ch, "s": ch, "d": ""}[how] + word[at + (how != "i") :]
+        word = word[:at] + {"i": ch, "s": ch, "d": "", "t": word[at : at + 2][::-1]}[how] + word[at + {"i": 0, "t": 2}.get(how, 1) :]
     got = LexiconAutomaton(TERMS).match(word)
-    want = min(((tail_distance(t, word)), i) for i, t in enumerate(TERMS) if tail_distance(t, word) <= errors(t)) if any(tail_distance(t, word) <= errors(t) for t in TERMS) else None
+    want = min(((distance(t, word), i) for i, t in enumerate(TERMS) if distance(t, word) <= errors(t)), default=None)
     assert (got is None) == (want is None)
     if got:
         assert (got[1], got[0]) == want
 
 
+def test_misspellings():
+    lex = LexiconAutomaton(TERMS, frozenset(["boron"]))
+    for word, term in [("idoit", "idiot"), ("moorn", "moron"), ("1diot", "idiot"), ("ldiot", "idiot"), ("diot", "idiot"), ("vorthless", "worthless"), ("owrthles", "worthless")]:
+        assert TERMS[lex.match(word)[0]] == term
+    assert lex.match("boron") is None and lex.match("bda") is None and lex.match("") is None
+    assert LexiconAutomaton(TERMS).match("boron") == (TERMS.index("moron"), 1)
+
+
+def test_context_is_learned():
+    rows = [((False, False, True, False), 1, 90), ((False, False, False, False), 1, 10), ((True, False, False, False), 0, 400), ((False, True, False, False), 0, 600)]
+    base, quotes, reports, address, _ = learn_context(rows, 100, 1000)
+    assert quotes < 0 and reports < 0 < address and learn_context([], 5, 5) == CONTEXT
+    other = learn_context([((True, False, False, False), 1, 100), ((False, False, False, False), 0, 1000)], 100, 1000)
+    assert other[1] > CONTEXT[1] and other[0] < base
+
+
 def test_quotation_weighs_less_than_abuse():
     lex = LexiconAutomaton(TERMS)
     w = (5.0,) * len(TERMS)

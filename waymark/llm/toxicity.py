@@ -2,11 +2,12 @@
 
 Terms that labelled toxic documents use and others do not form a trie. The trie is intersected with
 the Levenshtein automata of its terms, as a deterministic automaton whose states are made when first
-met: one pass over a word tells whether it is a term or a misspelling of one (the first letter must
-be right; one error from five letters on, two from nine). Each hit is read in its window of words:
-quotation marks and words of reporting speak for a quotation, direct address and exclamation for
-abuse. A logistic regression over the hits' masses gives the score. Labels, language and source are
-never looked at when scoring.
+met: one pass over a word tells whether it is a term or a misspelling of one. A letter too many, too
+few, wrong, or changed with its neighbour is an error, at the start too; terms of five letters may
+have one, of nine two. Words that clean training documents use are themselves and misspell nothing.
+Each hit is read in its window of words: quotation marks, words of reporting, direct address and
+exclamation are weighed as the training documents teach. A logistic regression over the hits' masses
+gives the score. Labels, language and source are never looked at when scoring.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.llm.shingles import release_others, texts_of, worker_cache
-from waymark.plans.storage import save
+from waymark.plans.storage import drop, save
 
 #: Labelled rows of each class that the model is fitted on, at most.
 TOXIC_ROWS, CLEAN_ROWS = 6_000, 12_000
-#: Terms of the lexicon at most, and the evidence (log-likelihood ratio, odds) that a term needs.
-TERMS, LEAST_LLR, LEAST_LOG_ODDS = 512, 25.0, 2.0
+#: The evidence (log-likelihood ratio, odds) that a term needs, and clean documents that make a word ordinary.
+LEAST_LLR, LEAST_LOG_ODDS, ORDINARY = 25.0, 2.0, 2
 WINDOW = 6
 CACHE = 300_000
 
@@ -46,7 +47,7 @@ def errors(term: str) -> int:
 class LexiconAutomaton:
     """Levenshtein automata of all terms, intersected with their trie and made deterministic on the way."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: list[str], ordinary: frozenset[str] = frozenset()) -> None:
         self.next: list[dict[str, int]] = [{}]
         self.term: list[int] = [-1]
         self.most = [0]  # errors that a term below the node may have
@@ -63,34 +64,26 @@ class LexiconAutomaton:
                 node = child
                 self.most[node] = max(self.most[node], k)
             self.term[node] = i
-        self.terms = terms
+        self.terms, self.ordinary = terms, ordinary
         self.reset()
 
     def reset(self) -> None:
-        self.names: dict[tuple, int] = {((0, 0),): 0}
-        self.states: list[tuple] = [((0, 0),)]
-        self.moves: list[dict[str, int]] = [{}]
-        self.final: list[tuple[int, int] | None] = [None]
+        self.names: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        self.moves: list[dict[str, int]] = []
+        self.final: list[tuple[int, int] | None] = []
         self.seen: dict[str, tuple[int, int] | None] = {}
+        start: dict[tuple[int, str], int] = {}
+        self._add(start, 0, 0)
+        self._state(start)
 
-    def _step(self, state: tuple, ch: str) -> int:
-        """The state after ``ch``; -1 if no term can follow."""
-        new: dict[int, int] = {}
-
-        def add(node: int, e: int) -> None:
-            if e <= self.most[node] and e < new.get(node, 99):
-                new[node] = e
-                for child in self.next[node].values():  # a letter of the term is missing
-                    add(child, e + 1)
+    def _add(self, new: dict[tuple[int, str], int], node: int, e: int) -> None:
+        if e <= self.most[node] and e < new.get((node, ""), 99):
+            new[node, ""] = e
+            for child in self.next[node].values():  # a letter of the term is missing
+                self._add(new, child, e + 1)
 
-        for node, e in state:
-            child = self.next[node].get(ch)
-            if child is not None:
-                add(child, e)
-            if node and e < self.most[node]:
-                add(node, e + 1)
-                for child in self.next[node].values():
-                    add(child, e + 1)
+    def _state(self, new: dict[tuple[int, str], int]) -> int:
         if not new:
             return -1
         key = tuple(sorted(new.items()))
@@ -99,10 +92,30 @@ class LexiconAutomaton:
             got = self.names[key] = len(self.states)
             self.states.append(key)
             self.moves.append({})
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] >= 0 and e <= errors(self.terms[self.term[n]])]
+            ends = [(e, self.term[n]) for (n, due), e in key if not due and self.term[n] >= 0 and e <= errors(self.terms[self.term[n]])]
             self.final.append((min(ends)[1], min(ends)[0]) if ends else None)
         return got
 
+    def _step(self, state: tuple, ch: str) -> int:
+        """The state after ``ch``; -1 if no term can follow. Of two changed letters, the one due is kept."""
+        new: dict[tuple[int, str], int] = {}
+        for (node, due), e in state:
+            if due:
+                if due == ch:
+                    self._add(new, node, e)
+                continue
+            child = self.next[node].get(ch)
+            if child is not None:
+                self._add(new, child, e)
+            if e < self.most[node]:
+                self._add(new, node, e + 1)
+                for first, child in self.next[node].items():
+                    self._add(new, child, e + 1)
+                    after = self.next[child].get(ch)
+                    if after is not None and first != ch and e < min(self.most[after], new.get((after, first), 99) - 1):
+                        new[after, first] = e + 1
+        return self._state(new)
+
     def match(self, word: str) -> tuple[int, int] | None:
         """The nearest term within its errors, as (term, errors), or None."""
         if word in self.seen:
@@ -117,51 +130,70 @@ class LexiconAutomaton:
             s = to
             if s < 0:
                 break
-        got = self.seen[word] = self.final[s] if s >= 0 else None
+        got = self.final[s] if s >= 0 else None
+        if got and got[1] and word in self.ordinary:
+            got = None
+        self.seen[word] = got
         return got
 
 
+#: What speaks for abuse (log odds) before any document is seen: always, quotation marks around, reporting, address, exclamation.
+CONTEXT = (2.0, -2.5, -1.5, 1.0, 0.5)
+
+
 @dataclass(frozen=True)
 class ToxicityModel:
     terms: tuple[str, ...]
     weights: tuple[float, ...]  # of the terms
     coefficients: tuple[float, ...]  # of the features, the intercept last
+    ordinary: frozenset[str] = frozenset()  # words near a term that clean documents use
+    context: tuple[float, ...] = CONTEXT
 
 
 N_FEATURES = 5
 _AUTOMATA: dict[tuple, LexiconAutomaton] = worker_cache("toxicity")
 
 
-def automaton(terms: tuple[str, ...]) -> LexiconAutomaton:
-    if terms not in _AUTOMATA:
+def automaton(terms: tuple[str, ...], ordinary: frozenset[str] = frozenset()) -> LexiconAutomaton:
+    if (terms, ordinary) not in _AUTOMATA:
         _AUTOMATA.clear()
-        _AUTOMATA[terms] = LexiconAutomaton(list(terms))
-    return _AUTOMATA[terms]
+        _AUTOMATA[terms, ordinary] = LexiconAutomaton(list(terms), ordinary)
+    return _AUTOMATA[terms, ordinary]
 
 
 def words_of(text: str) -> list[str]:
     return text.lower().split()
 
 
-def quoted_share(words: list[str], i: int) -> float:
-    """How far the window around word ``i`` speaks for a quotation (1) and against abuse (0)."""
+def signs(words: list[str], i: int) -> tuple[bool, ...]:
+    """What the window around word ``i`` holds: quotation marks on both sides, reporting, address, exclamation."""
     lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
-    before = sum(w.count(q) for w in words[lo:i] for q in QUOTES) + sum(words[i][: len(words[i]) // 2].count(q) for q in QUOTES)
-    after = sum(w.count(q) for w in words[i + 1 : hi] for q in QUOTES) + sum(words[i][len(words[i]) // 2 :].count(q) for q in QUOTES)
+    half = len(words[i]) // 2
+    before = any(q in w for w in [*words[lo:i], words[i][:half]] for q in QUOTES)
+    after = any(q in w for w in [words[i][half:], *words[i + 1 : hi]] for q in QUOTES)
     near = [w.strip(STRIP) for w in words[lo:hi]]
-    z = -2.0 + 2.5 * (before > 0 and after > 0) + 1.5 * any(w in REPORTING for w in near) - 1.0 * any(w in ADDRESS for w in near) - 0.5 * any("!" in w for w in words[i:hi])
-    return 1 / (1 + math.exp(-z))
+    return before and after, any(w in REPORTING for w in near), any(w in ADDRESS for w in near), any("!" in w for w in words[i:hi])
 
 
-def features(text: str | None, lexicon: LexiconAutomaton, weights: tuple[float, ...]) -> tuple[float, ...]:
-    """Masses of the hits: as abuse exact and misspelled, as quotation, distinct terms, and the densest window."""
-    words = words_of(text or "")
+def quoted_share(words: list[str], i: int, context: tuple[float, ...] = CONTEXT) -> float:
+    """How far the window around word ``i`` speaks for a quotation (1) and against abuse (0)."""
+    return 1 / (1 + math.exp(context[0] + sum(c for c, on in zip(context[1:], signs(words, i), strict=True) if on)))
+
+
+def hits_of(words: list[str], lexicon: LexiconAutomaton) -> dict[str, tuple[int, int]]:
     hits = {}
     for w in set(words):
         core = w.strip(STRIP)
         got = lexicon.match(core) if core else None
         if got:
             hits[w] = got
+    return hits
+
+
+def features(text: str | None, lexicon: LexiconAutomaton, weights: tuple[float, ...], context: tuple[float, ...] = CONTEXT) -> tuple[float, ...]:
+    """Masses of the hits: as abuse exact and misspelled, as quotation, distinct terms, and the densest window."""
+    words = words_of(text or "")
+    hits = hits_of(words, lexicon)
     if not hits:
         return (0.0,) * N_FEATURES
     exact = fuzzy = quoted = 0.0
@@ -169,7 +201,7 @@ def features(text: str | None, lexicon: LexiconAutomaton, weights: tuple[float,
     for i, w in enumerate(words):
         got = hits.get(w)
         if got:
-            q = quoted_share(words, i)
+            q = quoted_share(words, i, context)
             mass = weights[got[0]] * (1 - q)
             quoted += weights[got[0]] * q
             if got[1]:
@@ -187,18 +219,35 @@ def features(text: str | None, lexicon: LexiconAutomaton, weights: tuple[float,
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
     """Newton's method for ridge logistic regression; the intercept, last, is not penalised."""
-    x = np.c_[x, np.ones(len(x))]
-    w = np.zeros(x.shape[1])
-    pen = np.r_[np.full(x.shape[1] - 1, ridge), 1e-6]
+    pen = np.r_[np.full(x.shape[1], ridge), 1e-6]
+    return _newton(np.c_[x, np.ones(len(x))], y, np.ones(len(x)), pen, np.zeros(len(pen)), rounds)
+
+
+def _newton(x: np.ndarray, y: np.ndarray, often: np.ndarray, pen: np.ndarray, prior: np.ndarray, rounds: int) -> np.ndarray:
+    """Logistic regression of rows met ``often``, its weights drawn to ``prior`` by ``pen``."""
+    w = prior.copy()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pen + 1e-9), x.T @ (y - p) - pen * w)
+        step = np.linalg.solve((x * (often * p * (1 - p))[:, None]).T @ x + np.diag(pen + 1e-9), x.T @ (often * (y - p)) - pen * (w - prior))
         w = w + step
         if np.abs(step).max() < 1e-8:
             break
     return w
 
 
+def learn_context(rows: list[tuple[tuple[bool, ...], int, int]], n1: int, n0: int) -> tuple[float, ...]:
+    """Weights of a window's signs from (signs, label, documents with such a hit), drawn to ``CONTEXT``.
+
+    Each class counts alike, as many documents as there are of the rarer one.
+    """
+    if not rows:
+        return CONTEXT
+    x = np.array([[1.0, *map(float, s)] for s, _, _ in rows])
+    y = np.array([float(label) for _, label, _ in rows])
+    often = np.array([n * min(n1, n0) / (n1 if label else n0) for _, label, n in rows])
+    return tuple(_newton(x, y, often, np.full(x.shape[1], 4.0), np.array(CONTEXT), 60).tolist())
+
+
 def _llr(a, b, n1, n0):
     """Log-likelihood ratio of a term found in ``a`` of ``n1`` toxic and ``b`` of ``n0`` clean documents."""
     part = lambda k, n, p: F.when(k > 0, k * F.log(k / (n * p))).otherwise(0.0)
@@ -230,19 +279,42 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             every = list(found[0] | found[1])
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([found[1][w] for w in every], pa.int64()), pa.array([found[0][w] for w in every], pa.int64())], names=["word", "a", "b"])
 
-    found = rows.mapInArrow(count, "word string, a bigint, b bigint").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a >= 3 and length(word) between 3 and 40")
+    found = save(rows.mapInArrow(count, "word string, a bigint, b bigint").groupBy("word").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("length(word) <= 43"), "toxic-words")
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
-    found = found.select("word", odds.alias("w"), _llr(F.col("a").cast("double"), F.col("b").cast("double"), n1, n0).alias("llr"))
-    best = found.where((F.col("llr") >= LEAST_LLR) & (F.col("w") >= LEAST_LOG_ODDS)).orderBy(F.desc("llr"), "word").limit(TERMS).collect()
+    strong = found.where("a >= 3 and length(word) between 3 and 40").select("word", odds.alias("w"), _llr(F.col("a").cast("double"), F.col("b").cast("double"), n1, n0).alias("llr"))
+    best = strong.where((F.col("llr") >= LEAST_LLR) & (F.col("w") >= LEAST_LOG_ODDS)).orderBy("word").collect()  # words of the bounded sample
     terms, weights = tuple(r["word"] for r in best), tuple(float(r["w"]) for r in best)
 
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = b.column(0).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array([w for w in words if (got := automaton(terms).match(w)) and got[1]], pa.string())], names=["word"])
+
+    plain = found.where((F.col("b") >= ORDINARY) & (odds < LEAST_LOG_ODDS)).select("word")
+    ordinary = frozenset(r["word"] for r in plain.mapInArrow(near, "word string").collect()) if terms else frozenset()  # words of the sample, near terms only
+    drop(found)
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                words = words_of(text)
+                hits = hits_of(words, automaton(terms, ordinary))
+                seen.update({(sum(on << k for k, on in enumerate(signs(words, i))), label) for i, w in enumerate(words) if w in hits})
+            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in seen], pa.int64()) for j in (0, 1)] + [pa.array(list(seen.values()), pa.int64())], names=["signs", "y", "n"])
+
+    around = rows.mapInArrow(windows, "signs bigint, y bigint, n bigint").groupBy("signs", "y").agg(F.sum("n").alias("n")).orderBy("signs", "y").collect()  # 32 rows at most
+    context = learn_context([(tuple(bool(r["signs"] >> k & 1) for k in range(4)), r["y"], r["n"]) for r in around], n1, n0)
+
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t, automaton(terms), weights) for t in b.column(0).to_pylist()]
+            got = [features(t, automaton(terms, ordinary), weights, context) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) for c in zip(*got, strict=True)] + [b.column(1).cast(pa.int64())] if got else [pa.array([], pa.float64())] * N_FEATURES + [pa.array([], pa.int64())], names=[*(f"f{i}" for i in range(N_FEATURES)), "y"])
 
     data = rows.mapInArrow(describe, ", ".join(f"f{i} double" for i in range(N_FEATURES)) + ", y bigint").toPandas().to_numpy(float)
-    return ToxicityModel(terms, weights, tuple(logistic(data[:, :-1], data[:, -1]).tolist()))
+    drop(rows)
+    data = data[np.lexsort(data.T)]
+    return ToxicityModel(terms, weights, tuple(logistic(data[:, :-1], data[:, -1]).tolist()), ordinary, context)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -262,7 +334,7 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_co
             got = np.zeros((b.num_rows, N_FEATURES))
             for k, texts in texts_of(b, at):
                 for i, t in enumerate(texts):
-                    got[k + i] = features(t, automaton(model.terms), model.weights)
+                    got[k + i] = features(t, automaton(model.terms, model.ordinary), model.weights, model.context)
             p = 1 / (1 + np.exp(-np.clip(got @ w[:-1] + w[-1], -40, 40)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
