@@ -72,7 +72,7 @@ class LexiconAutomaton:
         self.states: list[tuple] = []
         self.moves: list[dict[str, int]] = []
         self.final: list[tuple[int, int] | None] = []
-        self.seen: dict[str, tuple[int, int] | None] = {}
+        self.plain: set[str] = set()  # words as they stand, known to be no hits
         start: dict[tuple[int, str], int] = {}
         self._add(start, 0, 0)
         self._state(start)
@@ -118,9 +118,7 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The nearest term within its errors, as (term, errors), or None."""
-        if word in self.seen:
-            return self.seen[word]
-        if len(self.seen) > CACHE or len(self.states) > CACHE // 4:
+        if len(self.states) > CACHE:
             self.reset()
         s = 0
         for ch in word:
@@ -131,10 +129,7 @@ class LexiconAutomaton:
             if s < 0:
                 break
         got = self.final[s] if s >= 0 else None
-        if got and got[1] and word in self.ordinary:
-            got = None
-        self.seen[word] = got
-        return got
+        return None if got and got[1] and word in self.ordinary else got
 
 
 #: What speaks for abuse (log odds) before any document is seen: always, quotation marks around, reporting, address, exclamation.
@@ -175,46 +170,66 @@ def signs(words: list[str], i: int) -> tuple[bool, ...]:
     return before and after, any(w in REPORTING for w in near), any(w in ADDRESS for w in near), any("!" in w for w in words[i:hi])
 
 
-def quoted_share(words: list[str], i: int, context: tuple[float, ...] = CONTEXT) -> float:
-    """How far the window around word ``i`` speaks for a quotation (1) and against abuse (0)."""
-    return 1 / (1 + math.exp(context[0] + sum(c for c, on in zip(context[1:], signs(words, i), strict=True) if on)))
+def quoted_share(window: tuple[bool, ...], context: tuple[float, ...] = CONTEXT) -> float:
+    """How far the signs of a window speak for a quotation (1) and against abuse (0)."""
+    return 1 / (1 + math.exp(context[0] + sum(c for c, on in zip(context[1:], window, strict=True) if on)))
 
 
 def hits_of(words: list[str], lexicon: LexiconAutomaton) -> dict[str, tuple[int, int]]:
     hits = {}
-    for w in set(words):
+    for w in set(words) - lexicon.plain:
         core = w.strip(STRIP)
         got = lexicon.match(core) if core else None
         if got:
             hits[w] = got
+        else:
+            lexicon.plain.add(w)
+    if len(lexicon.plain) > CACHE:
+        lexicon.plain.clear()
     return hits
 
 
-def features(text: str | None, lexicon: LexiconAutomaton, weights: tuple[float, ...], context: tuple[float, ...] = CONTEXT) -> tuple[float, ...]:
-    """Masses of the hits: as abuse exact and misspelled, as quotation, distinct terms, and the densest window."""
+#: What a window may hold: all choices of its signs.
+WINDOWS = [tuple(bool(k >> j & 1) for j in range(4)) for k in range(16)]
+
+
+def masses(text: str | None, lexicon: LexiconAutomaton, weights: tuple[float, ...]) -> np.ndarray | None:
+    """Weights of the hits by window, exact then misspelled; then distinct exact terms, and hits in the densest window.
+
+    None for a text without hits.
+    """
     words = words_of(text or "")
     hits = hits_of(words, lexicon)
     if not hits:
-        return (0.0,) * N_FEATURES
-    exact = fuzzy = quoted = 0.0
+        return None
+    out = np.zeros(2 * len(WINDOWS) + 2)
     at = []
     for i, w in enumerate(words):
         got = hits.get(w)
         if got:
-            q = quoted_share(words, i, context)
-            mass = weights[got[0]] * (1 - q)
-            quoted += weights[got[0]] * q
-            if got[1]:
-                fuzzy += mass
-            else:
-                exact += mass
+            out[sum(on << k for k, on in enumerate(signs(words, i))) + len(WINDOWS) * (got[1] > 0)] += weights[got[0]]
             at.append(i)
     dense, lo = 0, 0
     for hi in range(len(at)):
         while at[hi] - at[lo] > 10 * WINDOW:
             lo += 1
         dense = max(dense, hi - lo + 1)
-    return math.log1p(exact), math.log1p(fuzzy), math.log1p(quoted), math.log1p(len({hits[w][0] for w in hits if not hits[w][1]})), math.log1p(dense)
+    out[-2:] = len({t for t, e in hits.values() if not e}), dense
+    return out
+
+
+def weigh(mass: np.ndarray, context: tuple[float, ...] = CONTEXT) -> np.ndarray:
+    """Features from rows of :func:`masses`: abuse exact and misspelled, quotation, distinct terms, densest window."""
+    q = np.array([quoted_share(w, context) for w in WINDOWS])
+    n = len(WINDOWS)
+    exact, fuzzy = mass[:, :n], mass[:, n : 2 * n]
+    return np.log1p(np.c_[exact @ (1 - q), fuzzy @ (1 - q), (exact + fuzzy) @ q, mass[:, -2:]])
+
+
+def features(text: str | None, lexicon: LexiconAutomaton, weights: tuple[float, ...], context: tuple[float, ...] = CONTEXT) -> tuple[float, ...]:
+    """Features of a text, as the regression reads them; all zero for one without hits."""
+    got = masses(text, lexicon, weights)
+    return (0.0,) * N_FEATURES if got is None else tuple(weigh(got[None, :], context)[0].tolist())
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 60) -> np.ndarray:
@@ -294,27 +309,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     ordinary = frozenset(r["word"] for r in plain.mapInArrow(near, "word string").collect()) if terms else frozenset()  # words of the sample, near terms only
     drop(found)
 
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            seen: Counter = Counter()
-            for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = words_of(text)
-                hits = hits_of(words, automaton(terms, ordinary))
-                seen.update({(sum(on << k for k, on in enumerate(signs(words, i))), label) for i, w in enumerate(words) if w in hits})
-            yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in seen], pa.int64()) for j in (0, 1)] + [pa.array(list(seen.values()), pa.int64())], names=["signs", "y", "n"])
-
-    around = rows.mapInArrow(windows, "signs bigint, y bigint, n bigint").groupBy("signs", "y").agg(F.sum("n").alias("n")).orderBy("signs", "y").collect()  # 32 rows at most
-    context = learn_context([(tuple(bool(r["signs"] >> k & 1) for k in range(4)), r["y"], r["n"]) for r in around], n1, n0)
+    n_masses = 2 * len(WINDOWS) + 2
+    names = [f"m{i}" for i in range(n_masses)]
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(t, automaton(terms, ordinary), weights, context) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.float64()) for c in zip(*got, strict=True)] + [b.column(1).cast(pa.int64())] if got else [pa.array([], pa.float64())] * N_FEATURES + [pa.array([], pa.int64())], names=[*(f"f{i}" for i in range(N_FEATURES)), "y"])
+            got = np.zeros((b.num_rows, n_masses))
+            for k, texts in texts_of(b, 0):
+                for i, t in enumerate(texts):
+                    found = masses(t, automaton(terms, ordinary), weights)
+                    if found is not None:
+                        got[k + i] = found
+            yield pa.RecordBatch.from_arrays([*(pa.array(c) for c in got.T), b.column(1).cast(pa.int64())], names=[*names, "y"])
 
-    data = rows.mapInArrow(describe, ", ".join(f"f{i} double" for i in range(N_FEATURES)) + ", y bigint").toPandas().to_numpy(float)
+    data = rows.mapInArrow(describe, ", ".join(f"{m} double" for m in names) + ", y bigint").toPandas().to_numpy(float)  # the bounded sample
     drop(rows)
     data = data[np.lexsort(data.T)]
-    return ToxicityModel(terms, weights, tuple(logistic(data[:, :-1], data[:, -1]).tolist()), ordinary, context)
+    mass, y = data[:, :-1], data[:, -1]
+    has = mass[:, : len(WINDOWS)] + mass[:, len(WINDOWS) : -2] > 0
+    context = learn_context([(w, label, n) for k, w in enumerate(WINDOWS) for label in (0, 1) if (n := int(has[y == label, k].sum()))], n1, n0)
+    return ToxicityModel(terms, weights, tuple(logistic(weigh(mass, context), y).tolist()), ordinary, context)
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -331,11 +345,13 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_co
         release_others("toxicity")
         w = np.array(model.coefficients)
         for b in batches:
-            got = np.zeros((b.num_rows, N_FEATURES))
+            z = np.full(b.num_rows, w[-1])
             for k, texts in texts_of(b, at):
                 for i, t in enumerate(texts):
-                    got[k + i] = features(t, automaton(model.terms, model.ordinary), model.weights, model.context)
-            p = 1 / (1 + np.exp(-np.clip(got @ w[:-1] + w[-1], -40, 40)))
+                    found = masses(t, automaton(model.terms, model.ordinary), model.weights)
+                    if found is not None:
+                        z[k + i] += (weigh(found[None, :], model.context) @ w[:-1])[0]
+            p = 1 / (1 + np.exp(-np.clip(z, -40, 40)))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*keep, "score", "predicted"])
 
     return rows.mapInArrow(run, schema)
