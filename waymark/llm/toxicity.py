@@ -118,7 +118,7 @@ class LexiconAutomaton:
 
     def match(self, word: str) -> tuple[int, int] | None:
         """The nearest term within its errors, as (term, errors), or None."""
-        if len(self.states) > CACHE:
+        if len(self.states) > CACHE // 4:
             self.reset()
         s = 0
         for ch in word:
