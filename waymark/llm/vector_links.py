@@ -10,7 +10,7 @@ returns link counts and a spanning forest of its links, never the links themselv
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,10 +85,16 @@ def tile_links(x: np.ndarray, y: np.ndarray, axes: np.ndarray, threshold: float,
         yield r + i[yes], j[yes]
 
 
-def _times_power(x: Column, k: Column) -> Column:
-    """``x / 2 ** k`` in two steps, as the power alone may be out of range."""
-    half = F.floor(k / 2)
-    return x * F.pow(F.lit(2.0), -half) * F.pow(F.lit(2.0), half - k)
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value``, which is evaluated once; a column read in a lambda would be for each component."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _scaled(v: Column) -> Column:
+    """``v / 2 ** k`` for the exponent ``k`` of its largest component, in two steps, as the power alone may be out of range."""
+    top = F.floor(F.log2(F.array_max(F.transform(v, lambda x: F.abs(x)))))
+    powers = _let(top, lambda k: F.struct(F.pow(F.lit(2.0), -F.floor(k / 2)).alias("p"), F.pow(F.lit(2.0), F.floor(k / 2) - k).alias("q")))
+    return _let(powers, lambda s: F.transform(v, lambda x: x * s["p"] * s["q"]))
 
 
 def link_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
@@ -105,10 +111,8 @@ def link_vectors(vectors: DataFrame, threshold: float = 0.93, tile: int = 2048,
         raise ValueError("threshold must be over 0 and at most 1")
     vec = F.col(vector_col)
     sound = F.col(label_col).isNotNull() & vec.isNotNull() & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(vec, lambda x: x != 0)
-    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.when(F.coalesce(sound, F.lit(False)), F.transform(vec, lambda x: x.cast("double") + F.lit(0.0))).alias("v"))
-    # by a power of two, which changes no cosine and no digit: squares neither vanish nor overflow
-    top = F.array_max(F.transform("v", lambda x: F.abs(x)))
-    rows = rows.withColumn("scale", F.floor(F.log2(top))).withColumn("v", F.transform("v", lambda x: _times_power(x, F.col("scale")))).drop("scale")
+    rows = vectors.select(F.col(id_col).alias("vec_id"), F.col(label_col).alias("label"), F.when(F.coalesce(sound, F.lit(False)), _let(F.transform(vec, lambda x: x.cast("double") + F.lit(0.0)), _scaled)).alias("v"))
+    # scaled by a power of two, which changes no cosine and no digit: squares neither vanish nor overflow
     rows = rows.withColumn("c1", F.when(F.col("v").isNotNull(), F.xxhash64("label", "v"))).withColumn("c2", F.xxhash64(F.lit(1), "v", "label"))
     classes = save(rows.where("v is not null and vec_id is not null").groupBy("c1", "c2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").cast("string").alias("label"), F.first("v").alias("v")), "vector-classes")
 
