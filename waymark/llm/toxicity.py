@@ -132,6 +132,8 @@ class LexiconAutomaton:
         return None if got and got[1] and word in self.ordinary else got
 
 
+MARKS = frozenset(QUOTES)
+
 #: What speaks for abuse (log odds) before any document is seen: always, quotation marks around, reporting, address, exclamation.
 CONTEXT = (2.0, -2.5, -1.5, 1.0, 0.5)
 
@@ -164,10 +166,10 @@ def signs(words: list[str], i: int) -> tuple[bool, ...]:
     """What the window around word ``i`` holds: quotation marks on both sides, reporting, address, exclamation."""
     lo, hi = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
     half = len(words[i]) // 2
-    before = any(q in w for w in [*words[lo:i], words[i][:half]] for q in QUOTES)
-    after = any(q in w for w in [words[i][half:], *words[i + 1 : hi]] for q in QUOTES)
+    before, after = "".join(words[lo:i]) + words[i][:half], words[i][half:] + "".join(words[i + 1 : hi])
+    quoted = not MARKS.isdisjoint(before) and not MARKS.isdisjoint(after)
     near = [w.strip(STRIP) for w in words[lo:hi]]
-    return before and after, any(w in REPORTING for w in near), any(w in ADDRESS for w in near), any("!" in w for w in words[i:hi])
+    return quoted, not REPORTING.isdisjoint(near), not ADDRESS.isdisjoint(near), "!" in words[i] or "!" in after
 
 
 def quoted_share(window: tuple[bool, ...], context: tuple[float, ...] = CONTEXT) -> float:
