@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,24 @@ def test_titles_and_written_buffers(spark, tmp_path):
     g = make(spark, SIMPLE)
     same = waymark.simplify_graph_parallel_cgal(g.nodes, g.segments, 1.0)
     assert same.size() == waymark.simplify_graph_parallel(g, 1.0).size()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def _places(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(int(i), float(x), float(y)) for i, (x, y) in zip(rng.permutation(400), rng.integers(-60, 60, (400, 2)), strict=True)]
+    rows += [(1, 500.0, 500.0), (1, 502.0, 500.0), (900, 502.0, 500.0), (901, None, 0.0)]  # an id at two places, a null
+    spark.createDataFrame(rows, "node_id bigint, x double, y double").write.parquet(f"{tmp_path}/nodes")
+    return rows, spark.read.parquet(f"{tmp_path}/nodes")
+
+
+def test_close_pairs_are_dealt_by_cell_and_not_broadcast(spark, tmp_path):
+    rows, nodes = _places(spark, tmp_path)
+    out = spatial.close_pairs(nodes, 7.0)
+    assert "Broadcast" not in _plan(out)
+    some = [r for r in rows if r[1] is not None]
+    want = sorted((p[0], q[0], d) for p in some for q in some if p[0] < q[0] and (d := (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) <= 49)
+    assert sorted(tuple(r) for r in out.collect()) == want
