@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import waymark
-from waymark.operators import reports
+from waymark.operators import components, reports
 from waymark.operators import simplify as S
 from waymark.operators import spatial
 from waymark.sources import loaders
@@ -214,3 +214,15 @@ def test_close_pairs_are_dealt_by_cell_and_not_broadcast(spark, tmp_path):
     some = [r for r in rows if r[1] is not None]
     want = sorted((p[0], q[0], d) for p in some for q in some if p[0] < q[0] and (d := (p[1] - q[1]) ** 2 + (p[2] - q[2]) ** 2) <= 49)
     assert sorted(tuple(r) for r in out.collect()) == want
+
+
+def test_rounds_over_many_edges_broadcast_nothing(spark, tmp_path, monkeypatch):
+    rows, nodes = _places(spark, tmp_path)
+    want = sorted(tuple(r) for r in S.clusters(nodes, 7.0).collect())
+    plans = []
+    keep = components.save
+    monkeypatch.setattr(components, "save", lambda df, label: plans.append(_plan(df)) or keep(df, label))
+    monkeypatch.setattr(components, "BROADCAST_EDGES", 10)
+    out = S.clusters(nodes, 7.0)
+    assert len(plans) > 4 and not any("Broadcast" in p for p in plans[:4]) and "Broadcast" not in _plan(out)
+    assert sorted(tuple(r) for r in out.collect()) == want and len(want) == len(rows)

@@ -140,7 +140,7 @@ def clusters(nodes: DataFrame, threshold: float, merge_coincident: bool = True)
     rows = nodes.select(F.col("node_id").cast("bigint").alias("node_id"), "x", "y")
     part = rows if merge_coincident else rows.groupBy("x", "y").agg(F.max("node_id").alias("node_id"))
     comp = connected_components(close_pairs(part, threshold)).withColumnRenamed("node", "node_id")
-    return rows.select("node_id").join(comp, "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("cluster_id"))
+    return rows.select("node_id").join(comp.hint("merge"), "node_id", "left").select("node_id", F.coalesce("component", "node_id").alias("cluster_id"))
 
 
 def centroids(nodes: DataFrame, labels: DataFrame) -> DataFrame:
