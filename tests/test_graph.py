@@ -226,3 +226,18 @@ def test_rounds_over_many_edges_broadcast_nothing(spark, tmp_path, monkeypatch):
     out = S.clusters(nodes, 7.0)
     assert len(plans) > 4 and not any("Broadcast" in p for p in plans[:4]) and "Broadcast" not in _plan(out)
     assert sorted(tuple(r) for r in out.collect()) == want and len(want) == len(rows)
+
+
+def test_centroids_are_dealt_and_not_broadcast(spark, tmp_path):
+    _, nodes = _places(spark, tmp_path)
+    nodes = nodes.where("x is not null").dropDuplicates(["node_id"])
+    nodes.write.parquet(f"{tmp_path}/once")
+    nodes = spark.read.parquet(f"{tmp_path}/once")
+    nodes.selectExpr("node_id", "node_id % 7 as cluster_id").write.parquet(f"{tmp_path}/labels")
+    out = S.centroids(nodes, spark.read.parquet(f"{tmp_path}/labels"))
+    assert "Broadcast" not in _plan(out)
+    at = {}
+    for k, x, y in nodes.collect():
+        at.setdefault(k % 7, []).append((x, y))
+    got = {r.cluster_id: (r.n, round(r.x, 9), round(r.y, 9)) for r in out.collect()}
+    assert got == {c: (len(v), *(round(sum(z) / len(v), 9) for z in zip(*v, strict=True))) for c, v in at.items()}

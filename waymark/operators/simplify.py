@@ -145,7 +145,7 @@ def clusters(nodes: DataFrame, threshold: float, merge_coincident: bool = True)
 
 def centroids(nodes: DataFrame, labels: DataFrame) -> DataFrame:
     """``cluster_id, x, y, n``: mean position and size of each cluster."""
-    return nodes.join(labels, "node_id").groupBy("cluster_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
+    return nodes.join(labels.hint("merge"), "node_id").groupBy("cluster_id").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count(F.lit(1)).alias("n"))
 
 
 def simplify_geometric(graph: StreetGraph, threshold: float = 10.0, variant: str = "table", merge_coincident: bool = True) -> StreetGraph:
