@@ -2,13 +2,14 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from conftest import SF
 from test_decontaminate import words_of
 from test_jaccard_join import components
 from test_suffix_dedup import brute_words as repeats
 
-from waymark.llm import toxicity
+from waymark.llm import shingles, toxicity
 
 pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -96,3 +97,32 @@ def test_hot_groups(spark):
     rows = {r.doc_id: r.text for r in out.collect()}
     assert set(rows) == {0, 1000, *(2000 + i for i in range(200))}
     assert [i for i, t in rows.items() if passage in t] == [2000]
+
+
+def test_whole_texts_travel_in_small_batches(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(5000)], "doc_id bigint, text string").coalesce(1)
+    before = spark.conf.get(pipeline.BATCH_CONF)
+    try:
+        kept = pipeline.drop_benchmark_leaks(spark, docs, SF)
+        sizes = kept.select("doc_id").mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n bigint")
+        got = [r.n for r in sizes.collect()]
+        assert sum(got) == 5000 and max(got) <= 2048
+    finally:
+        spark.conf.set(pipeline.BATCH_CONF, before)
+
+
+def test_workers_give_freed_memory_back():
+    left = []
+
+    @shingles.task("test")
+    def run(batches):
+        held = [b"x" * 4000 + bytes([i % 256]) for i in range(25_000)]  # 100 MB
+        left.append(held[-1])  # what stays lies above what is freed
+        yield len(held)
+
+    shingles.give_back()
+    before = shingles.resident()
+    if not before:
+        pytest.skip("the system does not tell")
+    assert list(run([])) == [25_000]
+    assert shingles.resident() < before + (30 << 20)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shingles import release_others, texts_of, worker_cache
+from waymark.llm.shingles import task, texts_of, worker_cache
 from waymark.plans.storage import save
 
 K1, B = 1.2, 0.75
@@ -161,6 +161,7 @@ def item_postings(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = items.select(F.col(id_col).cast("bigint").alias("item_id"), F.col(text_col).alias("text")).where("text is not null").distinct()
     rows = rows.withColumn("key", F.xxhash64("item_id", "text"))
 
+    @task("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(k, t, n, len(words)) for k, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for words in [words_of(text)] for t, n in Counter(words).items()]
@@ -238,8 +239,8 @@ def _search(shared, window: int, threshold: float, question: float, answer: floa
                         best[item] = {"item_id": item_id, "bm25": score, "question": share_q, "answer": share_a, "at": lo}
         return [best[i] for i in sorted(best)]
 
+    @task("decontaminate")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_others("decontaminate")
         if key not in _INDEXES:
             while len(_INDEXES) > 1:
                 _INDEXES.pop(next(iter(_INDEXES)))

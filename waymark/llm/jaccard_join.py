@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.shingles import release_others, shingle_sets, texts_of
+from waymark.llm.shingles import shingle_sets, task, texts_of
 from waymark.operators.components import connected_components
 from waymark.plans.storage import drop, save
 
@@ -259,8 +259,8 @@ def _node(s: np.ndarray, collided: frozenset[int]) -> int:
 def _sets(docs: DataFrame, k: int) -> DataFrame:
     """Of every document: its id, set size and a digest of the set in two halves."""
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_others("jaccard")
         for batch in batches:
             for at, texts in texts_of(batch, 1):
                 n, c = [], []
@@ -276,6 +276,7 @@ def _frequent(docs: DataFrame, classes: DataFrame, k: int) -> np.ndarray:
     """Shingles that several texts of a bounded sample share, sorted; they change speed only, never the result."""
     picked = classes.orderBy("node").limit(SAMPLE).select(F.col("rep").alias("doc_id"))
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in texts_of(batch, 0):
@@ -306,8 +307,8 @@ def _matches(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, collid
         for at in range(0, len(keys), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(c[at : at + (1 << 16)]) for c in (keys, nodes, kind)], names=["key", "node", "kind"])
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_others("jaccard")
         key, node, held, seen = [], [], 0, set()
         for batch in batches:
             for _, texts in texts_of(batch, 1):
@@ -331,6 +332,7 @@ def _matches(docs: DataFrame, k: int, percent: int, frequent: np.ndarray, collid
         keep = (kind > 0) | ~new | ~np.concatenate([new[1:], [True]])
         return pa.RecordBatch.from_arrays([pa.array(key[keep]), pa.array(node[keep])], names=["key", "node"])
 
+    @task("jaccard")
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by key and node; the last key of a batch waits for the next."""
         held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int8)]
@@ -385,8 +387,8 @@ def _links_batch(links: list[tuple[int, int]], nodes: list[int]) -> pa.RecordBat
 def _join_small(rows: DataFrame, percent: int) -> DataFrame:
     """Links within regions that fit a task. Rows arrive region by region and are joined as each ends."""
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_others("jaccard")
         region, nodes, sets = None, [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -426,9 +428,9 @@ def _pivot_step(rows: DataFrame, percent: int) -> DataFrame:
         cells = [[f"{region}.{p}" for p in np.flatnonzero(row)] + [f"{region}.r"] * bool(r) for row, r in zip(own, beyond_all, strict=True)]
         return pa.RecordBatch.from_arrays([pa.array([region] * len(some)), pa.array([n for n, _ in some], pa.int64()), pa.array([s for _, s in some], pa.binary()), pa.array(cells, pa.list_(pa.string())), pa.array(links, pa.list_(pa.int64()))], names=["region", "node", "set", "cells", "links"])
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows in order of region and salt, pivots before texts."""
-        release_others("jaccard")
         key, pivots, some = None, [], []
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
@@ -451,6 +453,7 @@ def _pivot_step(rows: DataFrame, percent: int) -> DataFrame:
 def _rare_step(rows: DataFrame, percent: int) -> DataFrame:
     """Regions parted by the rarest shingles of their texts; texts that share none with another are left out."""
 
+    @task("jaccard")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
@@ -599,6 +602,7 @@ def jaccard_components(docs: DataFrame, words: int = 4, percent: int = 85, id_co
     drop(matches)
     drop(table)
 
+    @task("jaccard")
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, texts in texts_of(batch, 1):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.llm.shingles import release_others, worker_cache
+from waymark.llm.shingles import task, worker_cache
 from waymark.plans.storage import save
 
 #: Words cached per worker before the cache starts anew, and texts encoded at once.
@@ -259,8 +259,8 @@ def cut_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> D
 
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
 
+    @task("packing")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_others("packing")
         enc = _ENCODERS.get(tokenizer) or _ENCODERS.setdefault(tokenizer, WordEncoder(tokenizer))
         part, slots, end = TaskContext.get().partitionId(), defaultdict(int), np.array(end_id, "<u4").tobytes()
         for whole in batches:
@@ -296,6 +296,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     base = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     table = {k: tuple(np.array(c, np.int64) for c in zip(*v, strict=True)) for k, v in runs.items()}
 
+    @task("packing")
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             length, rank = b.column("length").to_numpy(), b.column("slot").to_numpy() + b.column("base").to_numpy()

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.shingles import release_others, texts_of, worker_cache
+from waymark.llm.shingles import task, texts_of, worker_cache
 from waymark.plans.storage import drop, save
 
 #: Labelled rows of each class that the model is fitted on, at most.
@@ -288,6 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not n1 or not n0:
         return ToxicityModel((), (), (0.0,) * N_FEATURES + (-40.0,))
 
+    @task("toxicity")
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = (Counter(), Counter())
@@ -302,6 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     best = strong.where((F.col("llr") >= LEAST_LLR) & (F.col("w") >= LEAST_LOG_ODDS)).orderBy("word").collect()  # words of the bounded sample
     terms, weights = tuple(r["word"] for r in best), tuple(float(r["w"]) for r in best)
 
+    @task("toxicity")
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             words = b.column(0).to_pylist()
@@ -314,6 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n_masses = 2 * len(WINDOWS) + 2
     names = [f"m{i}" for i in range(n_masses)]
 
+    @task("toxicity")
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.zeros((b.num_rows, n_masses))
@@ -343,8 +346,8 @@ def score(docs: DataFrame, model: ToxicityModel, threshold: float = 0.7, text_co
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "score double, predicted int"])
     at = keep.index(text_col)
 
+    @task("toxicity")
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_others("toxicity")
         w = np.array(model.coefficients)
         for b in batches:
             z = np.full(b.num_rows, w[-1])
